@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "unigram_count", "piece_bpe")
+MODULES = ("quality_rules", "unigram_count", "matroska", "external_shuffle", "piece_bpe", "bloom_cascade")
 
 
 def _all(what: str) -> dict:
