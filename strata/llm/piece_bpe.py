@@ -28,7 +28,9 @@ from .texts import map_texts
 
 SPACE = "▁"
 #: Units kept by a worker, and the longest that is kept.
-CACHE_UNITS, CACHE_CHARS = 300_000, 48
+CACHE_UNITS, CACHE_CHARS = 500_000, 48
+#: Pairs of tokens whose compatibility a worker keeps.
+FIT_PAIRS = 2_000_000
 _LOADED: dict[str, PieceBpe] = {}
 
 
@@ -69,6 +71,8 @@ class PieceBpe:
         self.auto = auto
         self.fits: dict[int, bool] = {}
         self.units: dict[str, tuple[str, int, str]] = {}
+        self.names = [f" {i}" for i in range(len(pieces))]
+        self.decoded = {i: p.replace(SPACE, " ") for i, (p, _, k) in enumerate(pieces) if k == 1}
 
     def merge_tree(self, p: str) -> tuple[int, int] | None:
         """The two tokens that the last merge of this piece's own encoding joins; None if that isn't the piece."""
@@ -111,46 +115,36 @@ class PieceBpe:
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of a string without runs of spaces."""
         n = len(unit)
-        last: list[int] = [-1] * (n + 1)  # the last token of each prefix; below -1: a character to be given as bytes
-        start = [0] * (n + 1)
-        fits, test = self.fits, self.compatible
-        reached = 0
-
-        def unknown(upto: int) -> None:
-            nonlocal reached
-            while reached < upto:
-                reached += 1
-                if last[reached] == -1:
-                    last[reached], start[reached] = -2, reached - 1
-
+        last = [-1] * (n + 1)  # the last token of each prefix; -1: a character outside the vocabulary
+        first = [0] * (n + 1)  # where that token begins
+        fits, test, full = self.fits, self.compatible, -1
         for e, (i, size) in self.auto.iter(unit):
-            e += 1
-            if e > reached + 1:
-                unknown(e - 1)
-            if last[e] >= 0:
-                continue
-            s = e - size
+            if e == full:
+                continue  # this prefix's last token is known
+            s = e + 1 - size
             before = last[s]
-            if s and before >= 0:
+            if before >= 0:
                 key = before << 20 | i
                 ok = fits.get(key)
                 if ok is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > FIT_PAIRS:
                         fits.clear()
                     ok = fits[key] = test(before, i)
                 if not ok:
                     continue
-            last[e], start[e] = i, s
-            reached = max(reached, e)
-        unknown(n)
+            full = e
+            last[e + 1] = i
+            first[e + 1] = s
         out: list[int] = []
         e = n
         while e:
-            if last[e] >= 0:
-                out.append(last[e])
+            i = last[e]
+            if i >= 0:
+                out.append(i)
+                e = first[e]
             else:
-                out.extend(self.byte[x] for x in reversed(unit[e - 1].encode("utf-8", "replace")))
-            e = start[e]
+                e -= 1
+                out.extend([self.byte[x] for x in reversed(unit[e].encode("utf-8", "replace"))])
         out.reverse()
         return out
 
@@ -173,48 +167,53 @@ class PieceBpe:
             if k:
                 out.append(self.byte[10])
             if x:
-                out.extend(self.unit(x)[3])
+                out.extend(map(int, (self.units.get(x) or self.unit(x))[0].split()))
         return out
 
-    def unit(self, x: str) -> tuple[str, int, str, tuple[int, ...]]:
-        """(ids as text with a space before each, their number, decoded text, ids) of a unit."""
+    def _told(self, ids: list[int]) -> tuple[str, int, str]:
+        """(ids as text with a space before each, their number, decoded text)."""
+        names, texts = self.names, self.decoded
+        try:
+            text = "".join([texts[i] for i in ids])
+        except KeyError:  # bytes
+            text = self.decode(ids, first=False)
+        return "".join([names[i] for i in ids]), len(ids), text
+
+    def unit(self, x: str) -> tuple[str, int, str]:
         got = self.units.get(x)
         if got is None:
-            ids = self._lines(x)
-            got = ("".join([f" {i}" for i in ids]), len(ids), self.decode(ids, first=False), tuple(ids))
+            got = self._told(self._lines(x))
             if len(x) <= CACHE_CHARS and "\n" not in x:
                 if len(self.units) >= CACHE_UNITS:
                     self.units.clear()
                 self.units[x] = got
         return got
 
-    def _units(self, text: str) -> list[tuple]:
-        """The units of a whole text; a run of spaces before a unit gives one of its own."""
+    def _units(self, text: str) -> list[tuple[str, int, str]]:
+        """The units of a whole text; a run of spaces is told with the unit after it."""
         if not text:
             return []
         parts = text.replace(" ", SPACE).split(SPACE)
         get, make = self.units.get, self.unit
         if "" not in parts:
-            return [get(u := SPACE + p) or make(u) for p in parts]
+            return [get(u) or make(u) for u in [SPACE + p for p in parts]]
         out, run = [], 0
         for p in parts:
             run += 1
             if p:
                 one = make(SPACE + p)
-                alone = one[3][0] == self.space  # nothing is merged with the last space of the run
-                if run > 1 and alone:
-                    ids = self.spaces(run) + list(one[3][1:])
-                elif run > 1:
-                    ids = self.spaces(run - 1) + list(one[3])
-                out.append(one if run == 1 else ("".join([f" {i}" for i in ids]), len(ids), self.decode(ids, first=False), tuple(ids)))
+                if run > 1:
+                    ids = [*map(int, one[0].split())]
+                    alone = ids[0] == self.space  # nothing is merged with the last space of the run
+                    one = self._told(self.spaces(run) + ids[1:] if alone else self.spaces(run - 1) + ids)
+                out.append(one)
                 run = 0
         if run:
-            ids = self.spaces(run)
-            out.append(("".join([f" {i}" for i in ids]), len(ids), self.decode(ids, first=False), tuple(ids)))
+            out.append(self._told(self.spaces(run)))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for u in self._units(text) for i in u[3]]
+        return [int(i) for u in self._units(text) for i in u[0].split()]
 
     def decode(self, ids, first: bool = True) -> str:
         """Text of ids: control ids give nothing, byte pieces are put together, the space put before a text goes."""
@@ -243,7 +242,7 @@ class PieceBpe:
         ids = "".join([u[0] for u in units]) + f" {self.end}"
         decoded = "".join([u[2] for u in units])
         decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        return sum([u[1] for u in units]) + 1, hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        return sum([n for _, n, _ in units]) + 1, hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def load(path: str) -> PieceBpe:
