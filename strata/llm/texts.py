@@ -26,7 +26,8 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def map_texts(df: DataFrame, columns: list[tuple[str, str, pa.DataType]], make: Callable, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns and new ones of every row: ``make()`` runs once in each task and gives a function
     from a list of texts (None: null) to the list of the new columns' values, row by row."""
-    source = df.select(*keep, text)
+    source = df.select(*keep) if text in keep else df.select(*keep, text)
+    place = source.columns.index(text)
     kinds = dict(source.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {k}" for n, k, _ in columns)])
     names, types = [n for n, _, _ in columns], [t for _, _, t in columns]
@@ -34,7 +35,7 @@ def map_texts(df: DataFrame, columns: list[tuple[str, str, pa.DataType]], make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(place).to_pylist()
             for a, b in blocks(texts):
                 got = work(texts[a:b])
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
