@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "order_minhash", "unigram_count", "cutting_stock", "toxicity", "matroska", "external_shuffle", "piece_bpe", "bloom_cascade")
+MODULES = ("quality_rules", "order_minhash", "unigram_count", "cutting_stock", "toxicity", "matroska", "substring_dedup", "external_shuffle", "piece_bpe", "bloom_cascade")
 
 
 def _all(what: str) -> dict:
