@@ -18,7 +18,9 @@ can't clash; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +32,17 @@ from pyspark.sql import Window as W
 from .common import cut, documents
 
 LENGTH, GRID, END_ID = 4096, 16, 2
-CACHE_UNITS, CACHE_CHARS = 500_000, 48
+CACHE_UNITS, CACHE_CHARS = 1_000_000, 48
 #: Rests of one class and salt that are ranked in one task, about.
 SALT_ROWS = 20_000
 _LOADED: dict[str, WordTokenizer] = {}
 
 
+#: Letters whose lower case needs no context and that no normal form changes; a stop after what is no letter or digit.
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_JOINED = re.compile("[^\\sa-z\u00e0-\u00f6\u00f8-\u024f0-9][.,][ \n]")
+
+
 class WordTokenizer:
     """The file's tokenizer over parts between spaces and line ends, which its pre-tokenizer drops anyway;
     parts are encoded once and kept, as little-endian unsigned 32-bit ids, in a bounded dict."""
@@ -49,9 +56,19 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
 
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Parts that are encoded alone. Latin texts are put to lower case here, as the tokenizer would do, and a
+        single stop after a letter or digit is a part of its own, as for the tokenizer: fewer parts differ."""
+        if _OTHER.search(text) is None and "<|" not in text:
+            text = text.lower()
+            if _JOINED.search(text) is None:
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts with the end id."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self.split(t or "") for t in texts]
         known = self.parts
         if len(known) >= CACHE_UNITS:
             known.clear()
@@ -60,7 +77,7 @@ class WordTokenizer:
         for k in range(0, len(new), 20_000):
             group = new[k:k + 20_000]
             for p, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                (known if len(p) <= CACHE_CHARS else once)[p] = np.array(e.ids, "<u4").tobytes()
+                (known if len(p) <= CACHE_CHARS else once)[p] = array("I", e.ids).tobytes()
         end = END_ID.to_bytes(4, "little")
         if not once:
             return [b"".join([known[p] for p in parts]) + end for parts in split]
