@@ -43,6 +43,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a table written by cut() that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for name in df.inputFiles()[:1]:
+        where = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_shuffles() -> None:
+    """Lets Spark delete the shuffle files of steps that are over: their plans are garbage, on both sides."""
+    import gc
+
+    from pyspark import SparkContext
+
+    gc.collect()
+    if SparkContext._active_spark_context is not None:
+        SparkContext._active_spark_context._jvm.System.gc()
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have, so that extra columns with clashing names do no harm."""
     have = {c.lower() for c in df.columns}

@@ -2,23 +2,23 @@
 
 Every window of 20 words has an anchor, the least hash among its runs of eight words (the first of equals), so equal
 windows have equal anchors; windows side by side that share one anchor form a region. Regions whose anchor stands
-only once in the corpus can't repeat. The others are dealt to shards by anchor, so that all occurrences of a window
-meet in one shard, whose size in words is bounded. Equal regions go there once, with their first place. A shard's
-regions, in the order of their places, are the text of its FM-index; backward search over its wavelet matrix,
-streamed over all regions side by side, finds for each region the longest stretches that also stand earlier, and so
-the windows that do. Windows are compared word by word, not by hashes.
+in one place only (copies of a text count once) can't repeat. The others are dealt to shards by anchor, so that all
+occurrences of a window meet in one shard, whose size in words is bounded. Equal regions go there once, with their
+first place. A shard's regions, in the order of their places, are the text of its FM-index; backward search over its
+wavelet matrix, streamed over all regions side by side, finds for each region the longest stretches that also stand
+earlier, and so the windows that do. Windows are compared word by word, not by hashes.
 
 A region that stands earlier as a whole has all its windows removed; of a region's first place the index says which
-windows are kept. Removed are the words that a window with an earlier occurrence covers.
+windows are kept. Removed are the words that a window with an earlier occurrence covers. Of a text that an earlier
+document has (equal 128-bit hashes) all windows go.
 
 Defined results: null, empty and blank texts have no words and keep none; documents are ordered by doc_id, nulls
 first; rows with the same id and text are one document, so that neither removes the other; rows with one id and
-different texts are told apart by a hash of the text; only needed columns are read; an empty table gives no rows.
+different texts are told apart by the text; only needed columns are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -28,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fresh, text_or_empty
+from .common import cut, documents, drop_cut, free_shuffles, fresh, text_or_empty
 from .fm_index import CONTEXT, FmIndex, repeated_windows
 from .order_minhash import mix
 
 WINDOW, RUN = 20, 8
 #: Words of a shard, about.
 SHARD_WORDS = 1_200_000
+#: Lists of up to so many texts are broadcast, to shuffle fewer texts; beyond, all are shuffled.
+BROADCAST_ROWS = 1_000_000
 assert 2 * WINDOW - RUN <= CONTEXT  # the longest region
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,38 +81,42 @@ class Regions:
         return begin, np.diff(np.append(begin, len(at))), s[at[begin]].view(np.int64)
 
 
+def _key():
+    """128 bits of a text, as one string of 16 bytes."""
+    t = text_or_empty()
+    return F.concat(F.unhex(F.lpad(F.hex(F.xxhash64(t)), 16, "0")), F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(1), t)), 16, "0")))
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tk"), "text")
+    return docs.select("doc_id", _key().alias("tk"), "text")
 
 
 def _regions(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, start, n, anchor) of all regions of all documents."""
-    source = _with_key(docs)
-    kind = dict(source.dtypes)["doc_id"]
-
+    """(tk, place, anchor) of all regions of all documents; place: first window * 32 + number of windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Regions()
         for b in batches:
-            at, cols = [], [[], [], []]
-            for i, t in enumerate(b.column(2).to_pylist()):
-                got = find(find.words(t))
-                if len(got[0]):
-                    at.append(np.full(len(got[0]), i))
-                    for c, g in zip(cols, got, strict=True):
-                        c.append(g)
-            if not at:
-                continue
-            take = pa.array(np.concatenate(at))
-            start, n, anchor = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor)], names=["doc_id", "tk", "start", "n", "anchor"])
-
-    return source.mapInArrow(run, f"doc_id {kind}, tk bigint, start int, n int, anchor bigint")
+            at, cols = [], [[], []]
+            for i, t in enumerate(b.column(1).to_pylist()):
+                start, n, anchor = find(find.words(t))
+                if len(start):
+                    at.append(np.full(len(start), i))
+                    cols[0].append(start * 32 + n)
+                    cols[1].append(anchor)
+            if at:
+                place, anchor = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), pa.array(place), pa.array(anchor)], names=["tk", "place", "anchor"])
+
+    return docs.select(_key().alias("tk"), "text").mapInArrow(run, "tk binary, place bigint, anchor bigint")
 
 
 def _told(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(doc_id, tk, start, anchor, words) of the regions listed for each document."""
-    source = _with_key(docs).withColumnsRenamed({"doc_id": "i", "tk": "k"})
-    both = source.join(reps, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tk"))).select("doc_id", "tk", "text", "regions")
+    """(doc_id, tk, start, anchor, words) of the regions listed for each text, from its first document."""
+    source = _with_key(docs)
+    if reps.count() <= BROADCAST_ROWS:  # fewer texts to shuffle
+        source = source.join(F.broadcast(reps.select("tk")), "tk", "left_semi")
+    r = reps.withColumnsRenamed({"tk": "k", "doc_id": "i"})
+    both = source.join(r, (F.col("tk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "tk", "text", "regions")
     kind = dict(reps.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +125,16 @@ def _told(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
             def out(b=b, at=at, starts=starts, anchors=anchors, texts=texts):
                 take = pa.array(at, pa.int64())
-                return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(anchors, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "tk", "start", "anchor", "words"])
+                return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int64()), pa.array(anchors, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "tk", "start", "anchor", "words"])
 
             for i, (t, rs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
                 for r in rs:
+                    start, n = divmod(r["place"], 32)
                     at.append(i)
-                    starts.append(r["start"])
+                    starts.append(start)
                     anchors.append(r["anchor"])
-                    texts.append(b" ".join(words[r["start"]:r["start"] + r["n"] + WINDOW - 1]))
+                    texts.append(b" ".join(words[start:start + n + WINDOW - 1]))
                 size += len(words)
                 if size > 500_000:
                     yield out()
@@ -136,7 +143,7 @@ def _told(docs: DataFrame, reps: DataFrame) -> DataFrame:
                         x.clear()
             yield out()
 
-    return both.mapInArrow(run, f"doc_id {kind}, tk bigint, start int, anchor bigint, words binary")
+    return both.mapInArrow(run, f"doc_id {kind}, tk binary, start bigint, anchor bigint, words binary")
 
 
 def _search(table: pa.Table) -> pa.Table:
@@ -154,46 +161,42 @@ def _search(table: pa.Table) -> pa.Table:
     earlier = repeated_windows(FmIndex(np.array(text, np.int64)), np.array(base), windows, WINDOW)
     kept = ((np.int64(1) << windows) - 1) & ~earlier
     on = np.flatnonzero(kept)
-    return table.select(["doc_id", "tk", "start"]).take(pa.array(on)).append_column("kept", pa.array(kept[on]))
-
-
-def _free() -> None:
-    """Lets Spark delete the shuffle files of steps that are over."""
-    from pyspark import SparkContext
-
-    gc.collect()
-    if SparkContext._active_spark_context is not None:
-        SparkContext._active_spark_context._jvm.System.gc()
+    return table.select(["tk", "start"]).take(pa.array(on)).append_column("kept", pa.array(kept[on]))
 
 
-def findings(docs: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(reps, firsts): for each document with repeated anchors its regions, array of (start, n, anchor); and
-    for each that has kept windows in such regions, array of (start, kept bits)."""
-    kind = dict(docs.dtypes)["doc_id"]
+def findings(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(tk, doc_id, regions, firsts) of each text that has copies or repeated anchors: its smallest id, its regions,
+    array of (place, anchor), and of those whose first place it has, array of (start, kept bits)."""
     found = cut(_regions(docs), "regions")
-    anchors = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("anchor").alias("a")), "anchors")
-    again = found.join(anchors, F.col("anchor") == F.col("a"))
-    reps = again.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("regions"))  # a document's own regions
-    reps = cut(reps, "reps")
-    words = reps.agg(F.sum(F.aggregate("regions", F.lit(0).cast("long"), lambda s, r: s + r["n"] + F.lit(WINDOW)))).first()[0] or 0
-    _free()
+    place = F.xxhash64("tk", "place")
+    anchors = found.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y")
+    anchors = cut(anchors.select(F.col("anchor").alias("a")), "anchors")
+    free_shuffles()
+    listed = found.join(anchors, F.col("anchor") == F.col("a")).groupBy("tk").agg(F.collect_set(F.struct("place", "anchor")).alias("regions"))  # a text's own regions
+    texts = docs.groupBy(_key().alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    table = texts.join(listed, F.col("k") == F.col("tk"), "left").filter("copies > 1 or regions is not null").select(F.col("k").alias("tk"), "doc_id", "regions")
+    table = cut(table, "reps")
+    drop_cut(found)
+    free_shuffles()
+    reps = table.filter("regions is not null")
+    words = reps.agg(F.sum(F.aggregate("regions", F.lit(0).cast("long"), lambda s, r: s + r["place"] % 32 + F.lit(WINDOW)))).first()[0] or 0
     distinct = _told(docs, reps).groupBy("words").agg(F.min(F.struct("doc_id", "start", "tk", "anchor")).alias("m"))
     shards = max(-(-words // shard_words), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = distinct.select("m.doc_id", "m.tk", "m.start", "words", F.pmod("m.anchor", F.lit(shards)).alias("shard"))
-    firsts = dealt.groupBy("shard").applyInArrow(_search, f"doc_id {kind}, tk bigint, start int, kept bigint")
-    firsts = cut(firsts.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "kept")).alias("firsts")), "firsts")
-    _free()
-    return reps, firsts
+    firsts = dealt.groupBy("shard").applyInArrow(_search, "tk binary, start bigint, kept bigint")
+    firsts = firsts.groupBy("tk").agg(F.collect_list(F.struct("start", "kept")).alias("firsts")).withColumnRenamed("tk", "k")
+    out = cut(table.join(firsts, F.col("tk") == F.col("k"), "left").drop("k"), "findings")
+    drop_cut(table)
+    free_shuffles()
+    return out
 
 
 def removed_words(n: int, regions: list[dict] | None, firsts: list[dict] | None) -> np.ndarray:
     """Which of a document's n words go."""
-    if not regions:
-        return np.zeros(n, bool)
     kept = {r["start"]: r["kept"] for r in firsts or ()}
     edge = np.zeros(n + 1, np.int64)
-    for r in regions:
-        s, m = r["start"], r["n"]
+    for r in regions or ():
+        s, m = divmod(r["place"], 32)
         bits = kept.get(s, 0)
         if not bits:
             edge[s] += 1
@@ -208,13 +211,19 @@ def removed_words(n: int, regions: list[dict] | None, firsts: list[dict] | None)
 
 def with_removed(docs: DataFrame, keep: tuple[str, ...], columns: list[tuple[str, str, pa.DataType]], make: Callable) -> DataFrame:
     """``keep`` columns of every row and new ones: ``make()`` gives a function of (text, words, removed or None)."""
-    reps, firsts = findings(docs)
-    listed = reps.join(firsts.withColumnsRenamed({"doc_id": "i", "tk": "k"}), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tk")), "left").select("doc_id", "tk", "regions", "firsts")
-    did, key, r, f = (fresh(docs, x) for x in ("id", "key", "regions", "firsts"))
-    listed = listed.withColumnsRenamed({"doc_id": did, "tk": key, "regions": r, "firsts": f})
-    source = docs.join(listed, F.col("doc_id").eqNullSafe(F.col(did)) & (F.xxhash64(text_or_empty()) == F.col(key)), "left")
+    key, did, r, f, here = (fresh(docs, x) for x in ("key", "id", "regions", "firsts", "here"))
+    listed = findings(docs).withColumnsRenamed({"tk": key, "doc_id": did, "regions": r, "firsts": f})
+    needed = list(dict.fromkeys([*keep, "text", "doc_id"]))
+    source = docs.select(*needed).withColumn(here, _key())
+    joined = source.join(listed, F.col(here) == F.col(key), "left")
+    if listed.count() <= BROADCAST_ROWS:  # only texts that are listed are shuffled
+        ids = F.broadcast(listed.select(F.col(key).alias(here)))
+        alone = source.join(ids, here, "left_anti")
+        nothing = [F.lit(None).cast(dict(listed.dtypes)[c]).alias(c) for c in listed.columns]
+        joined = source.join(ids, here, "left_semi").join(listed, F.col(here) == F.col(key), "left").select(*needed, here, *listed.columns).union(alone.select(*needed, here, *nothing))
+    state = F.when(F.col(key).isNull(), F.lit(0)).when(F.col("doc_id").eqNullSafe(F.col(did)), F.lit(1)).otherwise(F.lit(2))  # not listed, first of its text, later copy
     extra = ["text"] * ("text" not in keep)
-    source = source.select(*keep, *extra, r, f)
+    source = joined.select(*keep, *extra, r, f, state.alias(here))
     place = source.columns.index("text")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {k}" for n, k, _ in columns)])
@@ -224,9 +233,14 @@ def with_removed(docs: DataFrame, keep: tuple[str, ...], columns: list[tuple[str
         work = make()
         for b in batches:
             out = []
-            for t, rs, fs in zip(b.column(place).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            rs, fs, states = (b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1))
+            for t, x, y, z in zip(b.column(place).to_pylist(), rs, fs, states, strict=True):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
-                gone = removed_words(len(words), rs, fs) if rs else None
+                gone = None
+                if z == 2 and len(words) >= WINDOW:
+                    gone = np.ones(len(words), bool)
+                elif z == 1 and x:
+                    gone = removed_words(len(words), x, y)
                 out.append(work(t, words, gone))
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             kept = [b.column(i) for i in range(len(keep))]
