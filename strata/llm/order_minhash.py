@@ -6,10 +6,13 @@ Each shingle is labelled with its occurrence number. A sketch takes the ``picked
 hash and keeps them in text order; it agrees for two texts if those agree in order, so that it follows
 edit similarity, not just the sets. Texts that share one of ``sketches`` sketches are candidates.
 
-Texts with the same words are one node, so that copies cost nothing. Candidates of a bucket are compared with a
-growing number of its members, leaders, chosen anew each round; a leader that was compared with all members of other
-classes leaves the bucket, and a bucket whose members are of one class is done. So pairs within a class aren't
-expanded, and no link between a bucket's texts is lost. The lengths' ratio bounds the similarity and comes first.
+Texts with the same words are one node, so that copies cost nothing. First each text is compared with one member of
+its sketches' buckets, a leader, then with the leader of each bucket that has texts of several classes still. Texts of
+buckets that are mixed after that are dealt anew, by their rarest shingles: by the prefix principle any two similar
+ones share one of them. There the number of leaders grows from round to round; a leader that was compared with all
+members of other classes leaves the bucket, and a bucket whose members are of one class is done. So pairs within a
+class aren't expanded, and no link between a bucket's texts is lost. The lengths' ratio bounds the similarity and
+comes first.
 A pair is aligned only inside the band of diagonals that a similarity of 0.8 can reach, which is exact.
 
 Defined results: a text without words (null, empty, white space) is a class of its own; the class id is the
@@ -19,7 +22,6 @@ class; only doc_id and text are read, so other columns can't clash; an empty tab
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,6 @@ from pyspark.sql import Window as W
 from .common import WORD_SPLIT, cut, documents, fresh, text_or_empty
 from .components import components
 
-_SPACES = re.compile(WORD_SPLIT)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -61,22 +62,28 @@ class Shingler:
     def __call__(self, text: str | None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        ws = [w for w in _SPACES.split(text or "") if w]
+        ws = (text or "").encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 600_000:
             known.clear()
-        for w in ws:
-            if w not in known:
-                known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.array([known[w] for w in ws], np.uint64)
+        got = list(map(known.get, ws))
+        if None in got:
+            for i, w in enumerate(ws):
+                if got[i] is None:
+                    v = known.get(w)
+                    if v is None:
+                        v = known[w] = xxh3_64_intdigest(w)
+                    got[i] = v
+        h = np.array(got, np.uint64)
         k = min(self.words, len(h))
         if not k:
             return h
         n = len(h) - k + 1
         s = np.zeros(n, np.uint64)
         for i in range(k):
-            s = mix(s + h[i:i + n] + _MIX[0])
-        return s
+            s = (s ^ h[i:i + n]) * _MIX[0]
+            s ^= s >> np.uint64(32)
+        return mix(s)
 
 
 def occurrences(s: np.ndarray) -> np.ndarray:
@@ -93,18 +100,24 @@ def occurrences(s: np.ndarray) -> np.ndarray:
 def sketch(s: np.ndarray, p: NearDupParams) -> np.ndarray:
     """p.sketches hashes, each of the picked shingles in text order."""
     seeds = mix(np.arange(1, p.sketches + 1, dtype=np.uint64) * _MIX[0])[:, None]
+    odd = seeds | np.uint64(1)
     labelled = mix(s + occurrences(s).astype(np.uint64) * _MIX[0])
+    rows, top = np.arange(p.sketches), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def picked(v: np.ndarray, where: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        k = min(p.picked, v.shape[1])
+        least, at = np.empty((p.sketches, k), np.uint64), np.empty((p.sketches, k), np.int64)
+        for i in range(k):
+            j = v.argmin(axis=1)
+            least[:, i], at[:, i] = v[rows, j], j
+            v[rows, j] = top
+        return least, at if where is None else np.take_along_axis(where, at, 1)
+
     least = where = None
     for a in range(0, len(s), 1 << 14):  # blocks, so that very long texts need no more memory
-        v = mix(labelled[None, a:a + (1 << 14)] ^ seeds)
-        k = min(p.picked, v.shape[1])
-        at = np.argpartition(v, k - 1, axis=1)[:, :k] if k < v.shape[1] else np.broadcast_to(np.arange(k), v.shape)
-        v = np.take_along_axis(v, at, 1)
-        at = at + a
-        least, where = (v, at) if least is None else (np.hstack([least, v]), np.hstack([where, at]))
-        if least.shape[1] > p.picked:
-            keep = np.argpartition(least, p.picked - 1, axis=1)[:, :p.picked]
-            least, where = np.take_along_axis(least, keep, 1), np.take_along_axis(where, keep, 1)
+        v, at = picked((labelled[None, a:a + (1 << 14)] ^ seeds) * odd, None)
+        at += a
+        least, where = (v, at) if least is None else picked(np.hstack([least, v]), np.hstack([where, at]))
     where = np.sort(where, axis=1)
     out = seeds[:, 0].copy()
     for k in range(where.shape[1]):
@@ -220,10 +233,11 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     active = cut(buckets.join(shared, "bucket"), "buckets")
     wanted = active.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = _with_print(docs.select("doc_id", "text"), "node").join(wanted.withColumnRenamed("node", "w"), (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    held = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "w"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = _with_print(held, "node").filter(F.col("node") == F.col("w")).select("node", "text")
     texts = cut(texts.dropDuplicates(["node"]) if not _unique(rows) else texts, "texts")
     comps = active.select("node").distinct().select("node", F.col("node").alias("comp"))
-    tested, leaders = None, 0
+    tested, leaders, refined = None, 0, False
     while True:
         members = active.join(comps, "node")
         if leaders:
@@ -245,7 +259,9 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
             pairs = both.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.col("n").alias("na"), F.col("nx").alias("nb")).dropDuplicates(["a", "b"])
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            active = members.join(ranked.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", "n")
+            active = members.select("bucket", "node", "n")
+            if leaders > 1 or refined:  # a leader was compared with all of other classes; the sketches' first ones are needed for the prefixes
+                active = active.join(ranked.select("bucket", "node"), ["bucket", "node"], "left_anti")
         pairs = pairs.filter("least(na, nb) >= %r * greatest(na, nb)" % p.similarity)
         links = cut(verified(pairs, texts, p), "links")
         active = cut(active, "buckets")
@@ -255,11 +271,39 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
         if not edges.isEmpty():
             onto = components(edges).withColumnsRenamed({"node": "was", "comp": "now"})
             comps = cut(comps.join(onto, comps["comp"] == onto["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), "comps")
+        if leaders == 1 and not refined:  # what is mixed still goes on by prefixes, in which all similar pairs meet
+            refined, leaders = True, 0
+            left = active.join(comps, "node")
+            mixed = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+            some = cut(left.join(mixed, "bucket").select("node").distinct(), "mixed")
+            active = cut(_prefix_buckets(texts.join(some, "node"), p), "prefixes")
         leaders = 4 * leaders or 1
     joined = nodes.select("node", "rep").join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     return rows.select("doc_id", "node"), joined
 
 
+def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(bucket, node, n): of each text its rarest labelled shingles, as many as two similar texts must have one in common
+    of: with n shingles, n - ceil(similarity * n) + 1 in an order that holds for all texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(p.words)
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                at, out, ns = [], [], []
+                for i, t in enumerate(b.column(1).slice(k, 500).to_pylist()):
+                    s = shingles(t)
+                    out.append(mix(s + occurrences(s).astype(np.uint64) * _MIX[0]).view(np.int64))
+                    at.append(np.full(len(s), k + i))
+                    ns.append(np.full(len(s), len(s)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), b.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(ns))], names=["bucket", "node", "n"])
+
+    every = cut(texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint"), "shingles")
+    often = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
+    order = F.row_number().over(W.partitionBy("node").orderBy("often", "bucket"))  # a text's own shingles
+    kept = every.join(often, "bucket").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(p.similarity) - F.lit(1e-9)) + 1)
+    return kept.filter("often > 1").select("bucket", "node", "n")
+
+
 def _first_of(members: DataFrame, k: int) -> DataFrame:
     """The k members of each bucket with the smallest nodes, by partial aggregation."""
     if k == 1:
