@@ -149,15 +149,12 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 
 
 def filter_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns: counted once for the fences, once for the verdict."""
-    needed = docs.select("lang", "source", "text")
-    counted = cut(with_counts(needed).drop("text"), "counts")
-    fence = fences(counted, params)
-    mine = [c for c in docs.columns if c not in COUNTS]
-    clash = {c: f"__own_{c}" for c in docs.columns if c in COUNTS}
-    judged = judge(with_counts(docs.withColumnsRenamed(clash)), fence, params)
-    back = {v: k for k, v in clash.items()}
-    return judged.filter("kept").select(*mine, *clash.values()).withColumnsRenamed(back).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns. The counts are written beside the rows, so that they
+    are made once and the verdict reads them (else the optimizer would put them into the filter again and again)."""
+    clash = {c: f"__own_{c}" for c in docs.columns if c in (*COUNTS, "base_failed", "kept")}
+    counted = cut(with_counts(docs.withColumnsRenamed(clash)), "counted")
+    judged = judge(counted, fences(counted, params), params)
+    return judged.filter("kept").select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
