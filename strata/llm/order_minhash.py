@@ -229,7 +229,7 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
     """(rows, nodes): (doc_id, node) of every row; (node, rep, comp) of every distinct sequence of words."""
     rows = cut(sketches(docs, p), "sketches")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
-    buckets = nodes.select("node", "n", F.posexplode("sketches").alias("k", "h")).select(F.xxhash64("k", "h").alias("bucket"), "node", "n")
+    buckets = nodes.select("node", "n", F.posexplode("sketches").alias("k", "h")).select(F.xxhash64("k", "h").alias("bucket"), "node", "n", F.lit(1).alias("r"), F.lit(True).alias("leads"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     active = cut(buckets.join(shared, "bucket"), "buckets")
     wanted = active.select("node").distinct().join(nodes.select("node", "rep"), "node")
@@ -241,9 +241,9 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
     while True:
         members = active.join(comps, "node")
         if leaders:
-            mixed = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+            mixed = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("leads").alias("any")).filter("any and x <> y").select("bucket")
             members = members.join(mixed, "bucket")
-        members = cut(members.select("bucket", "node", "n", "comp"), "members")
+        members = cut(members.select("bucket", "node", "n", "r", "leads", "comp"), "members")
         if members.isEmpty():
             break
         if not leaders:  # each node with the smallest leader of its buckets
@@ -251,15 +251,17 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
             pairs = members.join(lead, "bucket").filter("a < node").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
             sizes = nodes.select("node", "n")
             pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-            active = members.select("bucket", "node", "n")
+            active = members.drop("comp")
         else:
-            ranked = _first_of(members, leaders)
-            lead = ranked.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            both = members.join(lead, "bucket").filter("node <> x and comp <> cx and least(n, nx) >= %r * greatest(n, nx)" % p.similarity)
+            ranked = _first_of(members.filter("leads"), leaders)
+            lead = ranked.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("comp").alias("cx"))
+            # of two that meet in their first common shingle no more than the rest of either can agree
+            near = "node <> x and comp <> cx and least(n, nx) >= {0!r} * greatest(n, nx) and 1 + least(n - r, nx - rx) >= {1!r} * (n + nx) - 0.000001"
+            both = members.join(lead, "bucket").filter(near.format(p.similarity, p.similarity / (1 + p.similarity)))
             pairs = both.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.col("n").alias("na"), F.col("nx").alias("nb")).dropDuplicates(["a", "b"])
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            active = members.select("bucket", "node", "n")
+            active = members.drop("comp")
             if leaders > 1 or refined:  # a leader was compared with all of other classes; the sketches' first ones are needed for the prefixes
                 active = active.join(ranked.select("bucket", "node"), ["bucket", "node"], "left_anti")
         pairs = pairs.filter("least(na, nb) >= %r * greatest(na, nb)" % p.similarity)
@@ -273,7 +275,7 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
             comps = cut(comps.join(onto, comps["comp"] == onto["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), "comps")
         if leaders == 1 and not refined:  # what is mixed still goes on by prefixes, in which all similar pairs meet
             refined, leaders = True, 0
-            left = active.join(comps, "node")
+            left = active.join(comps, "node")  # the sketches' buckets still have their leaders
             mixed = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
             some = cut(left.join(mixed, "bucket").select("node").distinct(), "mixed")
             active = cut(_prefix_buckets(texts.join(some, "node"), p), "prefixes")
@@ -283,8 +285,10 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
 
 
 def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(bucket, node, n): of each text its rarest labelled shingles, as many as two similar texts must have one in common
-    of: with n shingles, n - ceil(similarity * n) + 1 in an order that holds for all texts."""
+    """(bucket, node, n, r, leads): of each text its rarest labelled shingles, as many as two similar texts must have one in
+    common of: with n shingles, n - ceil(similarity * n) + 1 in an order that holds for all texts. Of two similar texts the
+    one that isn't longer has it among fewer still, as 2 * similarity / (1 + similarity) of its shingles must agree:
+    these lead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(p.words)
         for b in batches:
@@ -300,17 +304,18 @@ def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
     every = cut(texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint"), "shingles")
     often = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
     order = F.row_number().over(W.partitionBy("node").orderBy("often", "bucket"))  # a text's own shingles
-    kept = every.join(often, "bucket").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(p.similarity) - F.lit(1e-9)) + 1)
-    return kept.filter("often > 1").select("bucket", "node", "n")
+    least = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1
+    kept = every.join(often, "bucket").withColumn("r", order).filter(F.col("r") <= least(p.similarity)).filter("often > 1")
+    return kept.select("bucket", "node", "n", F.col("r").cast("int").alias("r"), (F.col("r") <= least(2 * p.similarity / (1 + p.similarity))).alias("leads"))
 
 
 def _first_of(members: DataFrame, k: int) -> DataFrame:
     """The k members of each bucket with the smallest nodes, by partial aggregation."""
     if k == 1:
-        return members.groupBy("bucket").agg(F.min(F.struct("node", "n", "comp")).alias("m")).select("bucket", "m.*")
+        return members.groupBy("bucket").agg(F.min(F.struct("node", "n", "r", "comp")).alias("m")).select("bucket", "m.*")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
-    few = salted.withColumn("r", F.row_number().over(W.partitionBy("bucket", "salt").orderBy("node"))).filter(F.col("r") <= k)
-    return few.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("r") <= k).select("bucket", "node", "n", "comp")
+    few = salted.withColumn("place", F.row_number().over(W.partitionBy("bucket", "salt").orderBy("node"))).filter(F.col("place") <= k)
+    return few.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("place") <= k).select("bucket", "node", "n", "r", "comp")
 
 
 def _unique(rows: DataFrame) -> bool:
