@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of text that are handled together, whatever number of rows Arrow hands over.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:

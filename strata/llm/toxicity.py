@@ -51,7 +51,7 @@ class ToxicityParams:
     balanced: bool = False
 
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -311,8 +311,8 @@ class Scorer:
         best = np.full(len(texts), -np.inf)
         steps = np.arange(p.window)[:, None]
         for part, masked in ((np.flatnonzero(left == p.window), False), (np.flatnonzero(left < p.window), True)):
-            for k in range(0, len(part), 8192):
-                at = part[k:k + 8192]
+            for k in range(0, len(part), 4096):
+                at = part[k:k + 4096]
                 where = begin[at][None, :] + (np.minimum(steps, left[at][None, :] - 1) if masked else steps)
                 mask = (steps < left[at][None, :]).astype(np.float32)[:, :, None] if masked else None
                 np.maximum.at(best, owner[at], self.net.forward(self.table[flat[where]], mask))
