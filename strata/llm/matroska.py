@@ -208,6 +208,7 @@ def parse(data: bytes) -> Parsed:
                 if j == DOC_TYPE:
                     out.doc_type = data[c:d].rstrip(b"\0").decode("ascii", "replace")
         elif i == SEGMENT:
+            begin = a  # of the element, where its id stands
             for j, c, d in elements(data, a, b):
                 if j == INFO:
                     for k, e, f in elements(data, c, d):
@@ -219,7 +220,7 @@ def parse(data: bytes) -> Parsed:
                             own = {x: number(g, h) for x, g, h in elements(data, e, f) if x in (TRACK_NUMBER, DEFAULT_DURATION)}
                             out.tracks[own.get(TRACK_NUMBER, 0)] = own.get(DEFAULT_DURATION, 0)
                 elif j == CLUSTER:
-                    out.clusters.append(c - a)
+                    out.clusters.append(begin - a)
                     time = 0
                     for k, e, f in elements(data, c, d):
                         if k == TIMESTAMP:
@@ -237,6 +238,7 @@ def parse(data: bytes) -> Parsed:
                             if CUE_TIME in own and CUE_POSITIONS in own:
                                 pos = {x: number(g, h) for x, g, h in elements(data, *own[CUE_POSITIONS])}
                                 out.cues.append((number(*own[CUE_TIME]), pos.get(CUE_TRACK, 0), pos.get(CUE_CLUSTER, 0)))
+                begin = d
     return out
 
 
