@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import cut, documents
+from .texts import blocks, hold
 
 LENGTH, GRID, END_ID = 4096, 16, 2
 CACHE_UNITS, CACHE_CHARS = 1_000_000, 48
@@ -85,6 +86,7 @@ class WordTokenizer:
 
 
 def load(path: str) -> WordTokenizer:
+    hold("word ids", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
@@ -98,8 +100,6 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .texts import blocks
-
         tok = load(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 
 from .common import WORD_SPLIT, cut, documents, fresh, text_or_empty
 from .components import components
+from .texts import hold
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -58,13 +59,14 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words, self.known = words, {}
+        hold("shingles", self.known.clear)
 
     def __call__(self, text: str | None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
         ws = (text or "").encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space
         known = self.known
-        if len(known) > 600_000:
+        if len(known) > 200_000:
             known.clear()
         got = list(map(known.get, ws))
         if None in got:
@@ -194,12 +196,13 @@ def sketches(docs: DataFrame, p: NearDupParams) -> DataFrame:
         shingles = Shingler(p.words)
         for b in batches:
             ns, flat, at = [], [], [0]
-            for t in b.column(1).to_pylist():
-                s = shingles(t)
-                ns.append(len(s))
-                if len(s):
-                    flat.append(sketch(s, p).view(np.int64))
-                at.append(at[-1] + (p.sketches if len(s) else 0))
+            for k in range(0, b.num_rows, 1000):
+                for t in b.column(1).slice(k, 1000).to_pylist():
+                    s = shingles(t)
+                    ns.append(len(s))
+                    if len(s):
+                        flat.append(sketch(s, p).view(np.int64))
+                    at.append(at[-1] + (p.sketches if len(s) else 0))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), lists], names=["doc_id", "node", "n", "sketches"])
 
@@ -216,10 +219,11 @@ def verified(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
         shingles, last = Shingler(p.words), (None, None)
         for batch in batches:
             out = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != a:  # pairs come ordered by a
-                    last = (a, shingles(x))
-                out.append(similarity(last[1], shingles(y), p.similarity))
+            for k in range(0, batch.num_rows, 500):
+                for a, x, y in zip(*(batch.column(i).slice(k, 500).to_pylist() for i in (0, 2, 3)), strict=True):
+                    if last[0] != a:  # pairs come ordered by a
+                        last = (a, shingles(x))
+                    out.append(similarity(last[1], shingles(y), p.similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a binary, b binary, similarity double")

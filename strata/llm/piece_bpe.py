@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
-from .texts import map_texts
+from .texts import hold, map_texts
 
 SPACE = "▁"
 #: Units kept by a worker, and the longest that is kept.
@@ -247,6 +247,7 @@ class PieceBpe:
 
 def load(path: str) -> PieceBpe:
     """One table for each model file and worker process; it outlives tasks."""
+    hold("pieces", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = PieceBpe(read_pieces(path))
     return _LOADED[path]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, drop_cut, free_shuffles, fresh, text_or_empty
 from .fm_index import CONTEXT, FmIndex, repeated_windows
 from .order_minhash import mix
+from .texts import hold
 
 WINDOW, RUN = 20, 8
 #: Words of a shard, about.
@@ -46,6 +47,7 @@ class Regions:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        hold("regions", self.known.clear)
 
     def words(self, text: str | None) -> list[bytes]:
         return (text or "").encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space
@@ -58,7 +60,7 @@ class Regions:
             none = np.zeros(0, np.int64)
             return none, none, none
         known = self.known
-        if len(known) > 600_000:
+        if len(known) > 200_000:
             known.clear()
         got = list(map(known.get, words))
         if None in got:

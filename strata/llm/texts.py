@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame
 BLOCK_CHARS = 1_000_000
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """A worker process keeps the tables of one operator at a time: those that others left go. ``release`` drops one's own."""
+    for name in [x for x in _HELD if x != owner]:
+        _HELD.pop(name)()
+    _HELD[owner] = release
+
+
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows of about BLOCK_CHARS characters (a longer text is a run of its own)."""
     start = total = 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents
-from .texts import map_texts
+from .texts import hold, map_texts
 
 
 @dataclass(frozen=True)
@@ -278,6 +278,7 @@ class Scorer:
     """Scores whole texts; inputs of words are kept in a bounded table."""
 
     def __init__(self, model: Model):
+        hold("words", lambda: None)
         self.model, self.net = model, Network(model.params, model.weights) if model.weights else None
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, 6 * model.params.hidden), np.float32)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .piece_bpe import SPACE, read_pieces
-from .texts import map_texts
+from .texts import hold, map_texts
 
 CACHE_UNITS, CACHE_CHARS = 500_000, 48
 _LOADED: dict[str, UnigramCounter] = {}
@@ -111,6 +111,7 @@ class UnigramCounter:
 
 
 def load(path: str) -> UnigramCounter:
+    hold("unigrams", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = UnigramCounter([(p, s) for p, s, _ in read_pieces(path)])
     return _LOADED[path]
