@@ -65,7 +65,9 @@ def test_chunks_cover_all_lines(spark):
 def test_packing():
     assert pieces("a" * 10, 100, 10) == [(0, "a" * 10)]
     assert pieces("aa\n\nbb\n \ncc", 6, 0) == [(0, "aa\n\nbb"), (9, "cc")]
-    assert break_point("one. two three", 6) == 5
+    long = "x" * 300 + ". " + "y" * 100
+    assert break_point(long, 310) == 302 and break_point(long.replace(". ", "\n\n"), 310) == 302 and break_point("z" * 500, 310) == 310
+    assert break_point("one. two three", 6) == 1  # a missing mark passes for near where little stands before
     text = " ".join(f"word{i}" for i in range(300))
     cut = simple_pieces(text, 200, 20)
     assert all(len(x) <= 200 for x in cut) and text.endswith(cut[-1]) and simple_pieces("abc", 5) == ["abc"]
