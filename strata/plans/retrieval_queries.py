@@ -182,7 +182,7 @@ def incremental_index(s, d):
 
         folder = tempfile.mkdtemp(prefix="strata-stream-")
     schema = load(s, d, "documents").schema
-    return I.drain(s, d, schema, folder, SQ.WHOLE, glob="documents.parquet").groupBy("title", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("end_char").alias("chars"))
+    return I.drain(s, f"{d}/document[s].parquet", schema, folder, SQ.WHOLE).groupBy("title", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("end_char").alias("chars"))
 
 
 # ---- SQL ------------------------------------------------------------------------------------------------------
