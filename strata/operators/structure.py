@@ -131,13 +131,13 @@ def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
 
     @F.pandas_udf(_PIECES)
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"at": a, "text": p} for a, p in pieces(t, size, overlap, paragraphs)])
+        return texts.map(lambda t: None if t is None else [{"at": a, "text": p} for a, p in pieces(t, size, overlap, paragraphs)])
 
-    short = cut.filter(F.length("text") <= size).select("doc_no", "start", F.lit(0).alias("k"), "start", "title", "level", "text").toDF("doc_no", "section", "k", "start_char", "title", "level", "text")
-    long = cut.filter(F.length("text") > size).select("doc_no", "start", "title", "level", F.posexplode(packed("text")).alias("k", "p"))
-    long = long.select("doc_no", F.col("start").alias("section"), "k", (F.col("start") + F.col("p.at")).alias("start_char"), "title", "level", F.col("p.text").alias("text"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("text").alias("text")))
+    split = cut.withColumn("ps", packed(F.when(F.length("text") > size, F.col("text"))))  # sections are made once for both
+    both = split.select("doc_no", F.col("start").alias("section"), "title", "level", F.posexplode(F.coalesce("ps", whole)).alias("k", "p"))
+    both = both.select("doc_no", "section", "k", (F.col("section") + F.col("p.at")).alias("start_char"), "title", "level", F.col("p.text").alias("text"))
     w = W.partitionBy("doc_no").orderBy("section", "k")
-    both = short.unionByName(long)
     return both.select("doc_no", (F.row_number().over(w) - 1).alias("chunk_index"), "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), F.col("title").alias("section_title"), F.col("level").alias("section_level"), "text")
 
 

@@ -48,10 +48,8 @@ def sections(spark, d):
 
 
 def chunks_fast(spark, d):
-    """Chunks that are whole sections of the default size at most."""
-    f = typed(spark, d)
-    cut = S.sections(f).join(f.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))"))
-    return cut.filter(F.col("text").rlike(r"\S") & (F.length("text") <= S.ChunkConfig().max_chars)).select("doc_no", "start", "stop", "title", F.md5("text").alias("text_md5"))
+    """All chunks of the default size: sections up to it as they are, longer ones split (its SQL lists only the former)."""
+    return S.chunks(typed(spark, d)).select("doc_no", F.col("start_char").alias("start"), F.col("end_char").alias("stop"), F.col("section_title").alias("title"), F.md5("text").alias("text_md5"))
 
 
 def chunks_full(spark, d):
