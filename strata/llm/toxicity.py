@@ -5,10 +5,12 @@ beginning and end). Two gated recurrent layers read windows of 32 words in both
 states and a logistic unit scores the window. A text is cut into overlapping windows, half a window apart, the last
 one at the text's end, and all of them are scored; the text's score is the calibrated highest of them.
 
-Labels of at most ``sample_rows`` labelled documents (a bounded, documented sample, those of smallest hash) and at most
-``sample_windows`` windows of each are learnt from, never those of held-out rows (crc32 of the id's decimals divisible
-by 5). First each window has its document's label; then, of toxic documents, only windows that the network finds
-toxic. Calibration (a logistic fit on the documents' highest window) uses the same sample. Scoring covers everything.
+Labels of at most ``sample_rows`` labelled documents (a bounded, documented sample, those of smallest hash) are learnt
+from, never those of held-out rows (crc32 of the id's decimals divisible by 5). All windows of these documents take
+part: executors score them with the network as it is at the time, and the driver gets as many as its steps draw, each
+window alike. First each window has its document's label; then, of toxic documents, only windows that the network finds
+toxic, the highest at least. Calibration (a logistic fit on the documents' highest window) takes the maximum over all
+windows, as scoring does. Scoring covers everything.
 
 Defined results: a null text, or one without words, is a single window with one empty word; without labels of both kinds
 all scores are the share of toxic labels (0 where there is none); a null id isn't held out and has no label; repeated
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, drop_cut
 from .texts import hold, map_texts
 
 
@@ -39,7 +41,6 @@ class ToxicityParams:
     width: int = 8
     hidden: int = 8
     sample_rows: int = 8000
-    sample_windows: int = 24
     steps: int = 1000
     batch: int = 256
     rate: float = 0.01
@@ -218,51 +219,42 @@ class Model:
     offset: float  # without a network: the share of toxic labels
 
 
-def train(rows: list[tuple[list[list[str]], int]], p: ToxicityParams) -> Model:
-    """A network from (windows, label) of documents; every fifth is kept for calibration."""
-    labels = np.array([y for _, y in rows], np.float32)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(p, None, 0.0, float(labels.mean()) if len(labels) else 0.0)
+def rounds(p: ToxicityParams) -> list[tuple[int, int]]:
+    """First step and number of steps of the rounds: windows are chosen anew in each."""
+    at = [0, *(p.steps * k // 7 for k in (2, 3, 4, 5))]
+    return [(a, b - a) for a, b in zip(at, [*at[1:], p.steps], strict=True)]
+
+
+def fit(p: ToxicityParams, choose: Callable, tops: Callable) -> Model:
+    """A network trained on the windows (words with single spaces between) that ``choose(net, steps)`` gives for a
+    round's steps: of toxic documents, of others, and of others those that look toxic; net is None in the first round.
+    ``tops(net)``: the calibrating documents' highest logits and their labels."""
     net, rng = Network(p), np.random.default_rng(p.seed)
-    spare = np.arange(len(rows)) % 5 == 0  # for calibration alone
-    if min(labels[spare].sum(), (1 - labels[spare]).sum(), labels[~spare].sum()) < 5:
-        spare[:] = False
-    windows = [w for ws, _ in rows for w in ws]
-    owner = np.array([i for i, (ws, _) in enumerate(rows) for _ in ws])
-    y = np.where(spare[owner], np.float32(-1), labels[owner])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    ones, zeros = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
-    hard = zeros
-    for step in range(p.steps):
-        if step in (p.steps * 2 // 7, p.steps * 3 // 7, p.steps * 4 // 7, p.steps * 5 // 7):
-            # from now on, of toxic documents only windows found toxic, the highest at least; of others, more of those that look toxic
-            hard = zeros[np.argsort(-net.logits([windows[i] for i in zeros]))[:max(1, len(zeros) // 20)]]
-            z = net.logits([windows[i] for i in np.flatnonzero(y > 0)])
-            all_ones = np.flatnonzero(y > 0)
-            top = {int(owner[i]): i for i in all_ones[np.argsort(z)]}
-            ones = np.array(sorted({*all_ones[z > 0].tolist(), *top.values()}))
-        half = p.batch // 2
-        pick = np.concatenate([rng.choice(ones, half), rng.choice(zeros, half // 2), rng.choice(hard, p.batch - half - half // 2)])
-        idx, mask, words = net.batch([windows[i] for i in pick])
-        x, made = net.embed(words)
-        told = np.ones_like(x)
-        told[rng.random(len(words)) < p.drop, :p.width] = 0
-        _, g = net.gradients(idx, mask, x * told, made, y[pick], told)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        for k, v in g.items():
-            v = v / max(1.0, norm / 5)
-            m, s = moment[k]
-            m += 0.1 * (v - m)
-            s += 0.01 * (v * v - s)
-            rate = p.rate * (0.1 if step > p.steps * 4 // 5 else 1)
-            net.w[k] -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(np.float32)
-            if k in ("Ew", "Ec"):
-                net.w[k] *= np.float32(1 - rate * p.decay)
-    top = np.full(len(rows), -np.inf)
-    np.maximum.at(top, owner, net.logits(windows))
-    a, b = 1.0, 0.0  # logistic fit by Newton's method, each kind of label with the same weight
-    use = spare if spare.any() else ~spare
-    top, labels = top[use], labels[use]
+    half = p.batch // 2
+    sizes = (half, half // 2, p.batch - half - half // 2)
+    y = np.repeat(np.array([1, 0], np.float32), [half, p.batch - half])
+    for first, steps in rounds(p):
+        pools = choose(net if first else None, steps)
+        for step in range(first, first + steps):
+            windows = [pool[i].split(" ") for pool, n in zip(pools, sizes, strict=True) for i in rng.integers(len(pool), size=n)]
+            idx, mask, words = net.batch(windows)
+            x, made = net.embed(words)
+            told = np.ones_like(x)
+            told[rng.random(len(words)) < p.drop, :p.width] = 0
+            _, g = net.gradients(idx, mask, x * told, made, y, told)
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            for k, v in g.items():
+                v = v / max(1.0, norm / 5)
+                m, s = moment[k]
+                m += 0.1 * (v - m)
+                s += 0.01 * (v * v - s)
+                rate = p.rate * (0.1 if step > p.steps * 4 // 5 else 1)
+                net.w[k] -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(np.float32)
+                if k in ("Ew", "Ec"):
+                    net.w[k] *= np.float32(1 - rate * p.decay)
+    top, labels = tops(net)
+    a, b = 1.0, 0.0  # logistic fit by Newton's method
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum()) if p.balanced else np.full(len(labels), 1 / len(labels))
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
@@ -274,6 +266,43 @@ def train(rows: list[tuple[list[list[str]], int]], p: ToxicityParams) -> Model:
     return Model(p, net.w, float(max(a, 0.05)), float(b))
 
 
+def apart(spare_toxic: int, spare_clean: int, other_toxic: int) -> bool:
+    """Whether a fifth of the documents is kept for calibration alone: if both parts have enough of both labels."""
+    return min(spare_toxic, spare_clean, other_toxic) >= 5
+
+
+def train(rows: list[tuple[list[list[str]], int]], p: ToxicityParams) -> Model:
+    """A network from (windows, label) of documents; every fifth is kept for calibration."""
+    labels = np.array([y for _, y in rows], np.float32)
+    if not len(labels) or labels.min() == labels.max():
+        return Model(p, None, 0.0, float(labels.mean()) if len(labels) else 0.0)
+    spare = np.arange(len(rows)) % 5 == 0
+    if not apart(labels[spare].sum(), (1 - labels[spare]).sum(), labels[~spare].sum()):
+        spare[:] = False
+    windows = [w for ws, _ in rows for w in ws]
+    owner = np.array([i for i, (ws, _) in enumerate(rows) for _ in ws])
+    y = np.where(spare[owner], np.float32(-1), labels[owner])
+    ones, zeros = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
+    texts = [" ".join(w) for w in windows]
+
+    def choose(net, steps):
+        some, hard = ones, zeros
+        if net is not None:
+            z = net.logits(windows)
+            hard = zeros[np.argsort(-z[zeros])[:max(1, len(zeros) // 20)]]
+            best = {int(owner[i]): i for i in ones[np.argsort(z[ones])]}
+            some = np.array(sorted({*ones[z[ones] > 0].tolist(), *best.values()}))
+        return [[texts[i] for i in pool] for pool in (some, zeros, hard)]
+
+    def tops(net):
+        top = np.full(len(rows), -np.inf)
+        np.maximum.at(top, owner, net.logits(windows))
+        use = spare if spare.any() else ~spare
+        return top[use], labels[use]
+
+    return fit(p, choose, tops)
+
+
 class Scorer:
     """Scores whole texts; inputs of words are kept in a bounded table."""
 
@@ -286,6 +315,11 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> list[float]:
         if self.net is None:
             return [self.model.offset] * len(texts)
+        z = np.clip(self.model.slope * self.highest(texts) + self.model.offset, -30, 30)
+        return np.round(1 / (1 + np.exp(-z)), 6).tolist()
+
+    def highest(self, texts: list[str | None]) -> np.ndarray:
+        """The highest logit over all windows of each text."""
         p, known = self.model.params, self.known
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -317,8 +351,7 @@ class Scorer:
                 where = begin[at][None, :] + (np.minimum(steps, left[at][None, :] - 1) if masked else steps)
                 mask = (steps < left[at][None, :]).astype(np.float32)[:, :, None] if masked else None
                 np.maximum.at(best, owner[at], self.net.forward(self.table[flat[where]], mask))
-        z = np.clip(self.model.slope * best + self.model.offset, -30, 30)
-        return np.round(1 / (1 + np.exp(-z)), 6).tolist()
+        return best
 
 
 def held_out():
@@ -326,27 +359,63 @@ def held_out():
 
 
 def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> Model:
-    """Trains on the bounded sample; its windows alone reach the driver."""
+    """Trains on the bounded sample of rows. All their windows stay with the executors; the driver gets what it draws."""
     rank = F.xxhash64(F.lit(p.seed), "doc_id")
     some = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"]).filter(~held_out()).orderBy(rank, "doc_id").limit(p.sample_rows)
     some = cut(some, "labels")  # sample_rows rows at most
-    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
 
     def make() -> Callable:
         def work(texts):
-            out = []
-            for t in texts:
-                ws = words_of(t)
-                at = starts(len(ws), p)
-                rng = np.random.default_rng(zlib.crc32((t or "").encode("utf-8", "surrogatepass")))
-                chosen = sorted(rng.permutation(len(at))[:p.sample_windows].tolist())
-                out.append([" ".join(w[:64] for w in ws[at[i]:at[i] + p.window]) for i in chosen])
-            return [out]
+            split = [words_of(t) for t in texts]
+            return [[[" ".join(ws[a:a + p.window]) for a in starts(len(ws), p)] for ws in split]]
 
         return work
 
-    rows = map_texts(own, [("windows", "array<string>", pa.list_(pa.string()))], make, keep=("doc_id", "toxic")).orderBy("doc_id", "windows").limit(2 * p.sample_rows).collect()
-    return train([([w.split(" ") for w in r["windows"]], int(r["toxic"])) for r in rows], p)
+    every = map_texts(own, [("windows", "array<string>", pa.list_(pa.string()))], make, keep=("row", "toxic"))
+    every = every.select("row", (F.col("toxic") > 0).alias("toxic"), (F.pmod(F.xxhash64(F.lit(p.seed), "row"), F.lit(5)) == 0).alias("spare"), F.posexplode("windows").alias("at", "text"))
+    every = cut(every.repartition(24, "row", "at"), "windows")
+    n = {(r["toxic"], r["spare"]): r["n"] for r in every.filter("at = 0").groupBy("toxic", "spare").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    toxic, clean = (sum(v for k, v in n.items() if k[0] == kind) for kind in (True, False))
+    if not toxic or not clean:
+        return Model(p, None, 0.0, float(bool(toxic)))
+    kept = apart(n.get((True, True), 0), n.get((False, True), 0), n.get((True, False), 0))
+    learnt = every.filter(~F.col("spare")) if kept else every
+    half, turn = p.batch // 2, iter(range(len(rounds(p))))
+
+    def logits(df: DataFrame, net: Network) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast(Model(p, net.w, 1.0, 0.0))  # the weights: a fixed size
+
+        def make() -> Callable:
+            scorer = Scorer(sent.value)
+            return lambda texts: [[round(float(z), 4) for z in scorer.highest(texts)]]
+
+        return map_texts(df, [("z", "double", pa.float64())], make, keep=(*df.columns,))
+
+    def choose(net, steps):
+        draw = F.xxhash64(F.lit(next(turn)), "row", "at")
+        slim = F.regexp_replace("text", "([^ ]{64})[^ ]+", "$1").alias("text")  # of a word, 64 characters reach the driver
+        drawn = lambda df, k: [r["text"] for r in df.orderBy(draw, "row", "at").limit(k * steps).select(slim).collect()]  # noqa: E731 (what the steps draw)
+        if net is None:
+            zeros = drawn(learnt.filter("not toxic"), p.batch - half)
+            return drawn(learnt.filter("toxic"), half), zeros, zeros
+        now = cut(logits(learnt, net), "logits")
+        best = now.filter("toxic").groupBy("row").agg(F.max("z").alias("best"))
+        ones = now.filter("toxic").join(best, "row").filter("z > 0 or z = best")
+        clean = now.filter("not toxic")
+        edge = clean.agg(F.percentile_approx("z", 0.95, 10000)).first()[0]
+        out = drawn(ones, half), drawn(clean, half // 2), drawn(clean.filter(F.col("z") >= edge), p.batch - half - half // 2)
+        drop_cut(now)
+        return out
+
+    def tops(net):
+        use = every.filter("spare") if kept else every
+        rows = logits(use, net).groupBy("row", "toxic").agg(F.max("z").alias("z")).orderBy("row").limit(2 * p.sample_rows).collect()
+        return np.array([r["z"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
+
+    model = fit(p, choose, tops)
+    drop_cut(every)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

@@ -66,3 +66,21 @@ def test_odd_rows(spark, docs, none):
     scores = t.scored(docs, model, keep=tuple(docs.columns), name="toxic_score").collect()
     assert len(scores) == docs.count() and all(0 <= r.toxic_score <= 1 for r in scores)
     assert t.scored(none, model).count() == 0
+
+
+def test_all_windows_of_long_documents_are_learnt_from(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join([*prose(rng, 1500).split(), f"mark{i}", *prose(rng, 1500).split()]), "en", "s", 1) for i in range(60) if t.zlib.crc32(str(i).encode()) % 5][:40]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    marks = spark.createDataFrame([(r[0], 1, k % 2) for k, r in enumerate(rows)], "doc_id bigint, quality int, toxic int")
+    seen, tops, batch = set(), [], t.Network.batch
+    monkeypatch.setattr(t.Network, "batch", lambda self, windows: seen.update(x for w in windows for x in w if x.startswith("mark")) or batch(self, windows))
+    p = t.ToxicityParams(steps=300, batch=128, word_rows=512, char_rows=512)
+    model = t.learn(docs, marks, p)
+    assert len(seen) > 25  # each mark is in 2 or 3 of about 186 windows: of 24 windows a document, about 10 marks would be seen
+    monkeypatch.setattr(t, "fit", lambda p, choose, last: tops.append(last(t.Network(p, model.weights))) or model)
+    t.learn(docs, marks, p)
+    z, y = tops[0]
+    assert set(y) == {0.0, 1.0}
+    want = t.Scorer(t.Model(p, model.weights, 1.0, 0.0)).highest([r[1] for r in rows])
+    assert all(np.abs(want - x).min() < 2e-4 for x in z)
