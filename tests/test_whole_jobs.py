@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+from datetime import datetime, timedelta
 
 import pytest
 
 from strata.functions.packing import break_point
 from strata.operators import structure as S
+from strata.plans import retrieval_queries as RQ
 from strata.plans import structure_queries as SQ
 
 
@@ -62,3 +64,12 @@ def test_chunks_fast_splits_long_sections(spark, long_dir):
     want = sorted((r.doc_no, r.start + at, r.start + at + len(x), r.title or "", hashlib.md5(x.encode()).hexdigest()) for r in S.sections(typed).collect() for at, x in brute_chunks(texts[r.doc_no][r.start:r.stop], c.max_chars, c.overlap_chars))
     got = sorted((r.doc_no, r.start, r.stop, r.title or "", r.text_md5) for r in SQ.chunks_fast(spark, long_dir).collect())
     assert got == want and sum(b - a > 5000 for _, a, b, _, _ in got) > 6
+
+
+def test_caches_count_all_events(spark, tmp_path):
+    rows = [(i, "view", 1, hours) for i, hours in ((1, 0), (2, 5), (3, 12), (4, 18))] + [(5, "buy", 2, 1), (7, "buy", 2, 2), (9, "view", 3, 0)]
+    start = datetime(2024, 1, 1)
+    spark.createDataFrame([(i, k, u, start + timedelta(hours=h)) for i, k, u, h in rows], "event_id bigint, event_type string, user_id bigint, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert {(r.key, r.hit_count) for r in RQ.cache_evict_lfu(spark, str(tmp_path)).collect()} == {("view:1", 4), ("buy:2", 2), ("view:3", 1)}
+    # of view:1, 5 h and exactly 6 h after the last are hits, 7 h and the first are none
+    assert {tuple(r) for r in RQ.cache_hit_miss(spark, str(tmp_path)).collect()} == {("view", 5, 2), ("buy", 2, 1)}
