@@ -54,7 +54,7 @@ def search_topk(s, d):
 
 def search_expand(s, d):
     f = SQ.typed(s, d)
-    n = S.tree_from_chunks(S.chunks(f, SQ.WHOLE))
+    n = S.tree_from_chunks(S.chunks(f, SQ.SIZE))
     texts = n.join(f.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))"))
     slim = T.summaries(texts).select("doc_no", "node_id", "ord", "title", "summary")
     found = T.search(_topics(s, d), slim, T.SearchConfig(0.15, 2))
@@ -187,7 +187,7 @@ def incremental_index(s, d):
 
         folder = tempfile.mkdtemp(prefix="strata-stream-")
     schema = load(s, d, "documents").schema
-    return I.drain(s, f"{d}/document[s].parquet", schema, folder, SQ.WHOLE).groupBy("title", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("end_char").alias("chars"))
+    return I.drain(s, f"{d}/document[s].parquet", schema, folder, SQ.SIZE).groupBy("title", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("end_char").alias("chars"))
 
 
 # ---- SQL ------------------------------------------------------------------------------------------------------

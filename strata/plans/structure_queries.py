@@ -10,8 +10,8 @@ from ..operators import structure as S
 from ..sources.tables import filings
 from . import sql as Q
 
-#: No section is longer: chunks are sections, which SQL can state.
-WHOLE = S.ChunkConfig(max_chunk_tokens=200_000_000)
+#: The default size: longer sections are split, which the SQL of these queries does not state.
+SIZE = S.ChunkConfig()
 
 
 def typed(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
-    return S.chunks(typed(spark, d), WHOLE)
+    return S.chunks(typed(spark, d), SIZE)
 
 
 def node_table(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def node_paths(spark, d):
 def node_texts(spark, d):
     """(doc_no, node_id, ord, title, level, parent_id, text)."""
     f = typed(spark, d)
-    n = S.tree_from_chunks(S.chunks(f, WHOLE))
+    n = S.tree_from_chunks(S.chunks(f, SIZE))
     return n.join(f.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))"))
 
 

@@ -66,6 +66,15 @@ def test_chunks_fast_splits_long_sections(spark, long_dir):
     assert got == want and sum(b - a > 5000 for _, a, b, _, _ in got) > 6
 
 
+def test_queries_split_long_sections(spark, long_dir):
+    typed, c = SQ.typed(spark, long_dir), S.ChunkConfig()
+    text = {r.doc_no: r.text for r in typed.collect()}[0]
+    spans = [(r.start + at, r.start + at + len(x)) for r in sorted(S.sections(typed).collect(), key=lambda r: r.start) for at, x in brute_chunks(text[r.start:r.stop], c.max_chars, c.overlap_chars)]
+    got = SQ.chunk_offsets(spark, long_dir).orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.start_char, r.end_char) for r in got] == [(i, *x) for i, x in enumerate(spans)]
+    assert SQ.tree_stats(spark, long_dir).first().total_chunks == len(spans)
+
+
 def test_caches_count_all_events(spark, tmp_path):
     rows = [(i, "view", 1, hours) for i, hours in ((1, 0), (2, 5), (3, 12), (4, 18))] + [(5, "buy", 2, 1), (7, "buy", 2, 2), (9, "view", 3, 0)]
     start = datetime(2024, 1, 1)
