@@ -138,7 +138,7 @@ def _flat(spark, d):
     c = chunk_table(spark, d)
     k = F.col("chunk_index")
     number = F.when(k % 6 == 0, F.element_at(F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")]), (k / 6).cast("int") % 12 + 1)).otherwise(F.concat((k / 6).cast("int") + 1, F.lit("."), k % 6))
-    return c.filter("chunk_index < 60").select("doc_no", number.alias("structure"), F.concat(F.lit("Section "), k).alias("title"), (k + F.when(k % 5 == 4, 1000).otherwise(0)).alias("chunk_index"), (k + k % 3).alias("end_chunk_index")), c
+    return c.select("doc_no", number.alias("structure"), F.concat(F.lit("Section "), k).alias("title"), (k + F.when(k % 5 == 4, 1000).otherwise(0)).alias("chunk_index"), (k + k % 3).alias("end_chunk_index")), c
 
 
 def tree_from_flat(spark, d):

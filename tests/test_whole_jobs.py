@@ -82,3 +82,10 @@ def test_caches_count_all_events(spark, tmp_path):
     assert {(r.key, r.hit_count) for r in RQ.cache_evict_lfu(spark, str(tmp_path)).collect()} == {("view:1", 4), ("buy:2", 2), ("view:3", 1)}
     # of view:1, 5 h and exactly 6 h after the last are hits, 7 h and the first are none
     assert {tuple(r) for r in RQ.cache_hit_miss(spark, str(tmp_path)).collect()} == {("view", 5, 2), ("buy", 2, 1)}
+
+
+def test_tree_from_flat_has_all_chunks(spark, tmp_path):
+    text = "\n".join(f"PART I\nwords of part {i}" for i in range(70))
+    spark.createDataFrame([(0, text, "a")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = SQ.chunk_offsets(spark, str(tmp_path)).count()
+    assert n > 60 and SQ.tree_from_flat(spark, str(tmp_path)).select("title").distinct().count() == n
