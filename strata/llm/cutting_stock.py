@@ -39,9 +39,13 @@ SALT_ROWS = 20_000
 _LOADED: dict[str, WordTokenizer] = {}
 
 
-#: Letters whose lower case needs no context and that no normal form changes; a stop after what is no letter or digit.
+#: Letters whose lower case needs no context and that no normal form changes; a stop after what is no letter, digit or
+#: white space of the tokenizer (U+001C to U+001F are none).
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
-_JOINED = re.compile("[^\\sa-z\u00e0-\u00f6\u00f8-\u024f0-9][.,][ \n]")
+_JOINED = re.compile("[^\t-\r \x85\xa0a-z\u00e0-\u00f6\u00f8-\u024f0-9][.,][ \n]")
+#: Words of one piece that no normal form changes; the model takes them with their bytes as letters.
+_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
+_LETTER_BYTES = {c: "".join([chr(b) if b > 0xA0 and b != 0xAD else chr(0x143 if b == 0xAD else 0xA2 + b) for b in chr(c).encode()]) for c in range(0xE0, 0x100)}
 
 
 class WordTokenizer:
@@ -73,16 +77,24 @@ class WordTokenizer:
         known = self.parts
         if len(known) >= CACHE_UNITS:
             known.clear()
-        new = list({p for parts in split for p in parts if p not in known})
-        once: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            group = new[k:k + 20_000]
-            for p, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                (known if len(p) <= CACHE_CHARS else once)[p] = array("I", e.ids).tobytes()
-        end = END_ID.to_bytes(4, "little")
-        if not once:
-            return [b"".join([known[p] for p in parts]) + end for parts in split]
-        return [b"".join([known[p] if p in known else once[p] for p in parts]) + end for parts in split]
+        rest, long = [], []
+        of = self.tokenizer.model.tokenize
+        for p in set().union(*split):
+            if p not in known:
+                if len(p) > CACHE_CHARS:
+                    long.append(p)
+                if _LETTERS(p) is None:
+                    rest.append(p)
+                else:
+                    known[p] = array("I", [x.id for x in of(p if p.isascii() else p.translate(_LETTER_BYTES))]).tobytes()
+        for k in range(0, len(rest), 20_000):
+            group = rest[k:k + 20_000]
+            known.update(zip(group, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)], strict=True))
+        end, ids = END_ID.to_bytes(4, "little"), known.__getitem__
+        out = [b"".join(map(ids, parts)) + end for parts in split]
+        for p in long:
+            del known[p]
+        return out
 
 
 def load(path: str) -> WordTokenizer:

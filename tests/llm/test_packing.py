@@ -15,6 +15,10 @@ def test_ids_are_the_library():
 
     rng = random.Random(3)
     texts = ["", " ", "x<|endoftext|>y z", "X<|EndOfText|> y", "é́ é ́a", "ΑΣ ΟΔΟΣ", "don't I'LL  ", "a., b!, c. d.\nE,\nf", "A_, b. 5, x. ... , .", "İ ﬁ Ａ 漢字"]
+    low = [chr(k) for k in range(0x250)]
+    texts += [f"{x}{c}{stop}{after}{y}" for c in low for stop in ".," for after in " \n" for x, y in (("", "b"), ("a", ""))] + [f"a{c}b {c}" for c in low] + [f"a.{c}b, {c}" for c in low]
+    texts += ["".join(rng.choice(low) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["é" * 60, "a" * 60, "", "ÿþý, öõô. àáâ", "é" * 60 + ", x"]
     texts += ["".join(rng.choice("aB é.,!'_5 \n.,  <|>sS") for _ in range(rng.randrange(25))) for _ in range(5000)]
     want = [e.ids + [2] for e in tok.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == want
