@@ -12,9 +12,12 @@ window alike. First each window has its document's label; then, of toxic documen
 toxic, the highest at least. Calibration (a logistic fit on the documents' highest window) takes the maximum over all
 windows, as scoring does. Scoring covers everything.
 
-Defined results: a null text, or one without words, is a single window with one empty word; without labels of both kinds
-all scores are the share of toxic labels (0 where there is none); a null id isn't held out and has no label; repeated
-rows are scored one by one; language, source and id are no inputs; an empty table gives no rows.
+Defined results: a null text, or one without words, is a single window with one empty word; a run of more than 64
+characters is several words, in training as in scoring, so that very long texts and words need no more memory for a window;
+without labels of both kinds all scores are the share of toxic labels (0 where there is none); an id with several labels
+is toxic if one of them says so; of a labelled id that stands at several texts, the one of least hash is learnt from; a
+null id isn't held out and has no label; repeated rows are scored one by one and alike; language, source and id are no
+inputs; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,10 +56,15 @@ class ToxicityParams:
 
 
 CACHE_WORDS = 150_000
+WORD_CHARS = 64
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split() or [""]
+    """Words in lower case; a run of more than WORD_CHARS characters is several words, so that windows stay small."""
+    words = (text or "").lower().split() or [""]
+    if max(map(len, words)) > WORD_CHARS:
+        words = [w[k:k + WORD_CHARS] for w in words for k in range(0, len(w), WORD_CHARS)]
+    return words
 
 
 def starts(n: int, p: ToxicityParams) -> list[int]:
@@ -79,7 +87,8 @@ def word_features(words: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.n
     keep[ends - 1] = False
     keep[ends - 2] = False  # trigrams that would reach into the next word
     short = np.array([not w for w in words])
-    keep[ends[short] - 2] = True  # an empty word has its two marks alone
+    keep[ends[short] - 2] = True  # an empty word has its two marks alone, whatever word comes next
+    tri[ends[short] - 2] = 0
     sizes = np.array([max(1, len(w)) for w in words])
     return ids, tri[keep], np.cumsum(sizes) - sizes
 
@@ -361,9 +370,10 @@ def held_out():
 def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> Model:
     """Trains on the bounded sample of rows. All their windows stay with the executors; the driver gets what it draws."""
     rank = F.xxhash64(F.lit(p.seed), "doc_id")
-    some = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"]).filter(~held_out()).orderBy(rank, "doc_id").limit(p.sample_rows)
+    some = labels.select("doc_id", "toxic").dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(rank, "doc_id").limit(p.sample_rows)
     some = cut(some, "labels")  # sample_rows rows at most
-    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
+    own = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("t", F.xxhash64("t")).alias("text"))
+    own = own.withColumn("row", F.xxhash64("doc_id"))
 
     def make() -> Callable:
         def work(texts):
@@ -394,8 +404,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
 
     def choose(net, steps):
         draw = F.xxhash64(F.lit(next(turn)), "row", "at")
-        slim = F.regexp_replace("text", "([^ ]{64})[^ ]+", "$1").alias("text")  # of a word, 64 characters reach the driver
-        drawn = lambda df, k: [r["text"] for r in df.orderBy(draw, "row", "at").limit(k * steps).select(slim).collect()]  # noqa: E731 (what the steps draw)
+        drawn = lambda df, k: [r["text"] for r in df.orderBy(draw, "row", "at").limit(k * steps).select("text").collect()]  # noqa: E731 (what the steps draw)
         if net is None:
             zeros = drawn(learnt.filter("not toxic"), p.batch - half)
             return drawn(learnt.filter("toxic"), half), zeros, zeros
@@ -410,7 +419,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
 
     def tops(net):
         use = every.filter("spare") if kept else every
-        rows = logits(use, net).groupBy("row", "toxic").agg(F.max("z").alias("z")).orderBy("row").limit(2 * p.sample_rows).collect()
+        rows = logits(use, net).groupBy("row", "toxic").agg(F.max("z").alias("z")).orderBy("row").collect()  # sample_rows rows at most
         return np.array([r["z"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
 
     model = fit(p, choose, tops)

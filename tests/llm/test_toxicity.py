@@ -84,3 +84,51 @@ def test_all_windows_of_long_documents_are_learnt_from(spark, monkeypatch):
     assert set(y) == {0.0, 1.0}
     want = t.Scorer(t.Model(p, model.weights, 1.0, 0.0)).highest([r[1] for r in rows])
     assert all(np.abs(want - x).min() < 2e-4 for x in z)
+
+
+def test_several_labels_and_texts_of_an_id(spark):
+    """The same model from the same rows in any order: labels that disagree, an id with two texts."""
+    rows, labels = _labelled(200, 2)
+    rows += [(3, "another text of this id " * 3, "en", "s", 1), (7, None, "en", "s", 1)]
+    labels += [(i, 1, 1) for i in range(1, 40, 2)]
+    p = t.ToxicityParams(steps=20, batch=16, word_rows=64, char_rows=64)
+    found = []
+    for k in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if k > 1 else rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(k)
+        marks = spark.createDataFrame(labels[::-1] if k > 1 else labels, "doc_id bigint, quality int, toxic int").repartition(k)
+        model = t.learn(docs, marks, p)
+        found.append((model.slope, model.offset, {k: v.tobytes() for k, v in model.weights.items()}))
+    assert found[0] == found[1]
+
+
+def test_scores_against_plain_windows():
+    """Scores of whole texts, recomputed window by window and word by word."""
+    rng = random.Random(9)
+    p = t.ToxicityParams(word_rows=64, char_rows=64, width=4, hidden=4)
+    net = t.Network(p)
+    model = t.Model(p, net.w, 1.3, -0.4)
+    texts = [None, "", "one", "x" * 200 + " y", prose(rng, 31), prose(rng, 32), prose(rng, 33), prose(rng, 700), "Ünï \u00a0 Straße " * 40]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def gru(xs, d):
+        h, out = np.zeros(p.hidden), []
+        for x in xs if d == "f" else xs[::-1]:
+            g, a = x @ net.w[f"W{d}"] + net.w[f"b{d}"], h @ net.w[f"U{d}"]
+            r, z = sig(g[:4] + a[:4]), sig(g[4:8] + a[4:8])
+            n = np.tanh(g[8:] + r * (a[8:] + net.w[f"c{d}"]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def plain(text):
+        words = [w[k:k + 64] for w in ((text or "").lower().split() or [""]) for k in range(0, max(1, len(w)), 64)]
+        best = -np.inf
+        for a in sorted({*range(0, max(1, len(words) - 32), 16), max(0, len(words) - 32)}):
+            xs = [net.embed([w])[0][0] for w in words[a:a + 32]]
+            states = [np.concatenate(s) for s in zip(gru(xs, "f"), gru(xs, "r"), strict=True)]
+            e = np.array([np.tanh(s @ net.w["Wa"] + net.w["ba"]) @ net.w["v"] for s in states])
+            alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            best = max(best, float(sum(w * s for w, s in zip(alpha, states, strict=True)) @ net.w["w"] + net.w["b"][0]))
+        return sig(1.3 * best - 0.4)
+
+    assert np.allclose(t.Scorer(model)(texts), [plain(x) for x in texts], atol=2e-5)
