@@ -1,28 +1,33 @@
 """Operator 2: near duplicates by order MinHash, verified by banded alignment.
 
-A text is the sequence of its shingles of five words (fewer words than that: one shingle of them all). Similarity
-is that of aligned sequences: with M shingles matched in order, M / (n1 + n2 - M); 0.8 or more links two texts.
-Each shingle is labelled with its occurrence number. A sketch takes the ``picked`` labelled shingles of smallest
-hash and keeps them in text order; it agrees for two texts if those agree in order, so that it follows
-edit similarity, not just the sets. Texts that share one of ``sketches`` sketches are candidates.
-
-Texts with the same words are one node, so that copies cost nothing. First each text is compared with one member of
-its sketches' buckets, a leader, then with the leader of each bucket that has texts of several classes still. Texts of
-buckets that are mixed after that are dealt anew, by their rarest shingles: by the prefix principle any two similar
-ones share one of them. There the number of leaders grows from round to round; a leader that was compared with all
-members of other classes leaves the bucket, and a bucket whose members are of one class is done. So pairs within a
-class aren't expanded, and no link between a bucket's texts is lost. The lengths' ratio bounds the similarity and
-comes first.
-A pair is aligned only inside the band of diagonals that a similarity of 0.8 can reach, which is exact.
+A text's k-mers are its shingles of five words (fewer words than that: one shingle of them all), each labelled with its
+occurrence number. A sketch takes the ``picked`` labelled shingles of smallest hash and keeps them in text order; it
+agrees for two texts if those agree in order, so that it follows edit similarity, not just the sets. Texts that share
+one of ``sketches`` sketches are candidates. A candidate pair's words are aligned: with M words matched in order,
+M / (n1 + n2 - M) of 0.8 or more links two texts. A changed word counts once, not once for each shingle it stands in.
+The alignment goes over the diagonals that a similarity of 0.8 can reach, which is exact, a machine word of them at once.
+
+Texts with the same words are one node, so that copies cost nothing. First each text is compared with the smallest of
+its sketches' buckets' first members that it isn't too long or short for. Texts of buckets that hold several classes
+after that are dealt anew, by their rarest words: by the prefix principle any two similar ones share one of them. There
+each bucket's first members, more from round to round, are compared with its members of other classes; a leader that
+was leaves the bucket, and a bucket whose members are of one class is done. So pairs within a class aren't expanded,
+and no link between texts of a mixed bucket is lost. Very short texts, whose few shingles one edit may all change, go to
+the buckets of rarest words at once, which are exact.
+
+Hot keys (a bucket or a leader with more than a thousandth of all rows, so at most a thousand for each sketch) are
+salted: their members are spread over tasks, and the one row that they meet is repeated.
 
 Defined results: a text without words (null, empty, white space) is a class of its own; the class id is the
 smallest doc_id of the class (null if all are); rows with a null id get their text's class; repeated rows all get the
-class; only doc_id and text are read, so other columns can't clash; an empty table gives no rows.
+class; of ties (several leaders) the smallest fingerprint leads, whatever the order of rows; very long texts are compared
+whole, the alignment's memory is a bit for each word; only doc_id and text are read, so other columns can't clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,9 +48,12 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 class NearDupParams:
     words: int = 5
     similarity: float = 0.8
-    #: With 14 sketches of 3, a pair at 0.8 is missed with a probability of about (1 - 0.51) ** 14, below 0.0001.
+    #: With 14 sketches of 3, a pair that has a share q of its shingles in common is missed with a probability of about
+    #: (1 - q ** 3) ** 14: 0.0001 for q = 0.8 (two of a hundred words changed), 0.004 for 0.7, 0.15 for 0.5.
     sketches: int = 14
     picked: int = 3
+    #: Texts of fewer words, and those that are similar to one, go to the buckets of rarest words at once.
+    short: int = 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,38 +62,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """64-bit hashes of a text's shingles in order; words' hashes are kept in a bounded dict."""
+class Words:
+    """64-bit hashes of a text's words in order; those of known words are kept in a bounded dict."""
 
-    def __init__(self, words: int):
-        self.words, self.known = words, {}
-        hold("shingles", self.known.clear)
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        hold("word hashes", self.known.clear)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        ws = (text or "").encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space
         known = self.known
         if len(known) > 200_000:
             known.clear()
-        got = list(map(known.get, ws))
+        got = list(map(known.get, words))
         if None in got:
-            for i, w in enumerate(ws):
+            for i, w in enumerate(words):
                 if got[i] is None:
                     v = known.get(w)
                     if v is None:
                         v = known[w] = xxh3_64_intdigest(w)
                     got[i] = v
-        h = np.array(got, np.uint64)
-        k = min(self.words, len(h))
-        if not k:
-            return h
-        n = len(h) - k + 1
-        s = np.zeros(n, np.uint64)
-        for i in range(k):
-            s = (s ^ h[i:i + n]) * _MIX[0]
-            s ^= s >> np.uint64(32)
-        return mix(s)
+        return np.array(got, np.uint64)
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space
+
+
+def shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """64-bit hashes of the shingles of a sequence of words."""
+    k = min(words, len(h))
+    if not k:
+        return h
+    n = len(h) - k + 1
+    s = np.zeros(n, np.uint64)
+    for i in range(k):
+        s = (s ^ h[i:i + n]) * _MIX[0]
+        s ^= s >> np.uint64(32)
+    return mix(s)
 
 
 def occurrences(s: np.ndarray) -> np.ndarray:
@@ -128,39 +143,37 @@ def sketch(s: np.ndarray, p: NearDupParams) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Most elements matched in order, inside |i - j| <= band: exact if the two differ by ``band`` at most."""
+    """Most elements matched in order with |i - j| <= band, or more that can be: exact if the two differ by ``band`` at most.
+
+    Bits of an integer stand for the places of ``b``; a cleared bit is a place where the best count of the elements of
+    ``a`` so far goes up by one. Blocks of rows see the places in their band alone; those beyond aren't touched yet.
+    """
     most = min(len(a), len(b))
     differ = np.flatnonzero(a[:most] != b[:most])
     head = int(differ[0]) if len(differ) else most
     a, b, most = a[head:], b[head:], most - head
     differ = np.flatnonzero(a[len(a) - most:][::-1] != b[len(b) - most:][::-1])
     tail = int(differ[0]) if len(differ) else most
-    a, b = a[:len(a) - tail], b[:len(b) - tail]
-    if not len(a) or not len(b):
+    rows, places = a[:len(a) - tail].tolist(), b[:len(b) - tail].tolist()
+    if not rows or not places:
         return head + tail
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    if int((hi - lo).sum()) <= 8 * (len(a) + len(b)):  # few matches: longest increasing run of places, latest first
-        places, ends = order.tolist(), []
-        for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            for j in reversed(places[x:y]):
-                if -band <= i - j <= band:
-                    k = bisect_left(ends, j)
-                    if k == len(ends):
-                        ends.append(j)
-                    else:
-                        ends[k] = j
-        return head + tail + len(ends)
-    row = np.zeros(len(b) + 1, np.int64)  # much repetition: row by row, a row at once
-    for i in range(len(a)):
-        x, y = max(0, i - band), min(len(b), i + band + 1)
-        if x >= y:
-            continue
-        new = np.maximum(row[x + 1:y + 1], np.where(b[x:y] == a[i], row[x:y] + 1, 0))
-        new = np.maximum(np.maximum.accumulate(new), row[x])
-        row[x + 1:y + 1] = new
-        row[y + 1:] = np.maximum(row[y + 1:], new[-1]) if y < len(b) else row[y + 1:]
-    return head + tail + int(row[-1])
+    state, block = (1 << len(places)) - 1, max(1024, 2 * band)
+    for first in range(0, len(rows), block):
+        lo, hi = max(0, first - band), min(len(places), first + block + band)
+        if lo >= hi:
+            break
+        at: dict[int, int] = {}
+        for j, x in enumerate(places[lo:hi]):
+            at[x] = at.get(x, 0) | 1 << j
+        full = (1 << (hi - lo)) - 1
+        seen = state >> lo & full
+        state ^= seen << lo
+        for x in rows[first:first + block]:
+            if x in at:
+                up = seen & at[x]
+                seen = (seen + up) | (seen - up)
+        state |= (seen & full) << lo
+    return head + tail + len(places) - state.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -188,126 +201,150 @@ _NO_WORDS = bytes.fromhex("d41d8cd98f00b204e9800998ecf8427e")  # md5 of nothing
 
 
 def sketches(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(doc_id, node, n, sketches) of every row."""
-    source = _with_print(docs.select("doc_id", "text"), "node")
+    """(doc_id, node, n, sketches) of every row; n: words."""
+    source = docs.select("doc_id", "text")
     kind = dict(source.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(p.words)
+        hashed = Words()
         for b in batches:
-            ns, flat, at = [], [], [0]
+            nodes, ns, flat, at = [], [], [], [0]
             for k in range(0, b.num_rows, 1000):
                 for t in b.column(1).slice(k, 1000).to_pylist():
-                    s = shingles(t)
-                    ns.append(len(s))
-                    if len(s):
-                        flat.append(sketch(s, p).view(np.int64))
-                    at.append(at[-1] + (p.sketches if len(s) else 0))
+                    words = split(t)
+                    nodes.append(hashlib.md5(b" ".join(words)).digest())
+                    ns.append(len(words))
+                    if words:
+                        flat.append(sketch(shingles(hashed(words), p.words), p).view(np.int64))
+                    at.append(at[-1] + (p.sketches if words else 0))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), lists], names=["doc_id", "node", "n", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(ns, pa.int64()), lists], names=["doc_id", "node", "n", "sketches"])
 
     return source.mapInArrow(run, f"doc_id {kind}, node binary, n bigint, sketches array<bigint>")
 
 
+def _salted(df: DataFrame, key: str, spread: str, few: DataFrame, few_key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` and ``few`` (few_key, c: its number of rows in df; ...) with a column ``salt``: 0, but for keys with more than
+    a thousandth of ``rows``, whose rows are spread by the hash of ``spread`` and whose row in ``few`` is repeated."""
+    hot = [r[0] for r in few.filter(F.col("c") > max(2000, rows // 1000)).select(few_key).collect()]  # a thousand for each row that a member has
+    if not hot:
+        return df.withColumn("salt", F.lit(0)), few.withColumn("salt", F.lit(0))
+    spark = df.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(x,) for x in hot], f"hot {dict(few.dtypes)[few_key]}"))
+    wide = lambda t, k: t.join(listed, F.col(k) == F.col("hot"), "left")
+    df = wide(df, key).withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(64))).cast("int")).drop("hot")
+    few = wide(few, few_key).withColumn("salt", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(63))))).drop("hot")
+    return df, few
+
+
 def verified(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b, similarity) of pairs of nodes; texts: (node, text)."""
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
+    pairs = cut(pairs.select("a", "b"), "pairs")
+    left, leads = _salted(pairs, "a", "b", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a", pairs.count())
+    ta = texts.withColumnsRenamed({"node": "a", "text": "ta"}).join(leads.select("a", "salt"), "a")
+    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(ta, ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last = Shingler(p.words), (None, None)
+        hashed, last = Words(), (None, None)
         for batch in batches:
             out = []
             for k in range(0, batch.num_rows, 500):
                 for a, x, y in zip(*(batch.column(i).slice(k, 500).to_pylist() for i in (0, 2, 3)), strict=True):
                     if last[0] != a:  # pairs come ordered by a
-                        last = (a, shingles(x))
-                    out.append(similarity(last[1], shingles(y), p.similarity))
+                        last = (a, hashed(split(x)))
+                    out.append(similarity(last[1], hashed(split(y)), p.similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes of a forest (a, b): a is the parent of b. Paths are halved until nothing changes."""
+    up = parents.select(F.col("b").alias("node"), F.col("a").alias("comp"), F.lit(True).alias("moved"))
+    while True:
+        up = cut(up, "roots")
+        if up.filter("moved").isEmpty():
+            return up.select("node", "comp")
+        to = up.select(F.col("node").alias("n"), F.col("comp").alias("onward"))
+        up = up.join(to, F.col("comp") == F.col("n"), "left").select("node", F.coalesce("onward", "comp").alias("comp"), F.col("onward").isNotNull().alias("moved"))
+
+
 def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): (doc_id, node) of every row; (node, rep, comp) of every distinct sequence of words."""
     rows = cut(sketches(docs, p), "sketches")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
-    buckets = nodes.select("node", "n", F.posexplode("sketches").alias("k", "h")).select(F.xxhash64("k", "h").alias("bucket"), "node", "n", F.lit(1).alias("r"), F.lit(True).alias("leads"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    active = cut(buckets.join(shared, "bucket"), "buckets")
-    wanted = active.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    # the buckets that several nodes share, with their first members
+    every = nodes.select("node", "n", F.posexplode("sketches").alias("k", "h")).select(F.xxhash64("k", "h").alias("bucket"), "node", "n")
+    lead = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("m")).filter("c > 1").select("bucket", "c", F.col("m.node").alias("a"), F.col("m.n").alias("na")), "leaders")
+    dealt, few = _salted(every, "bucket", "node", lead, "bucket", nodes.count())
+    active = cut(dealt.join(few, ["bucket", "salt"]).select("bucket", "node", "n", "a", "na"), "buckets")
+    small = nodes.filter((F.col("n") > 0) & (F.col("n") < p.short / p.similarity)).select("node")
+    wanted = active.select("node").union(small).distinct().join(nodes.select("node", "rep"), "node")
     held = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "w"), F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = _with_print(held, "node").filter(F.col("node") == F.col("w")).select("node", "text")
     texts = cut(texts.dropDuplicates(["node"]) if not _unique(rows) else texts, "texts")
-    comps = active.select("node").distinct().select("node", F.col("node").alias("comp"))
-    tested, leaders, refined = None, 0, False
+    # each node with the smallest of its leaders
+    fits = "least(n, na) >= %r * greatest(n, na)" % p.similarity
+    pairs = active.filter("a < node").filter(fits).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    links = cut(verified(pairs, texts, p), "links")
+    tested = [links.select("a", "b")]
+    moved = _roots(links.filter(F.col("similarity") >= p.similarity))
+    comps = cut(nodes.select("node", "rep").join(moved, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("was")), "comps")
+    # mixed buckets, and short texts, go on by their rarest words; only their classes can change
+    in_class = active.select("bucket", "node").join(moved, "node", "left").select("bucket", F.coalesce("comp", "node").alias("comp"))
+    mixed = in_class.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+    some = active.join(mixed, "bucket").select("node").union(small).distinct()
+    now = cut(comps.join(some, "node").select("node", "was", F.col("was").alias("comp")), "now")
+    active = cut(_prefix_buckets(texts.join(now.select("node"), "node"), p), "prefixes")
+    leaders, near = 4, "node <> x and comp <> cx and least(n, nx) >= {0!r} * greatest(n, nx) and 1 + least(n - r, nx - rx) >= {1!r} * (n + nx) - 0.000001"
     while True:
-        members = active.join(comps, "node")
-        if leaders:
-            mixed = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("leads").alias("any")).filter("any and x <> y").select("bucket")
-            members = members.join(mixed, "bucket")
-        members = cut(members.select("bucket", "node", "n", "r", "leads", "comp"), "members")
+        members = active.join(now.select("node", "comp"), "node")
+        alive = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("leads").alias("any")).filter("any and x <> y").select("bucket")
+        members = cut(members.join(alive, "bucket").select("bucket", "node", "n", "r", "leads", "comp"), "members")
         if members.isEmpty():
             break
-        if not leaders:  # each node with the smallest leader of its buckets
-            lead = members.groupBy("bucket").agg(F.min("node").alias("a"))
-            pairs = members.join(lead, "bucket").filter("a < node").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
-            sizes = nodes.select("node", "n")
-            pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-            active = members.drop("comp")
-        else:
-            ranked = _first_of(members.filter("leads"), leaders)
-            lead = ranked.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("comp").alias("cx"))
-            # of two that meet in their first common shingle no more than the rest of either can agree
-            near = "node <> x and comp <> cx and least(n, nx) >= {0!r} * greatest(n, nx) and 1 + least(n - r, nx - rx) >= {1!r} * (n + nx) - 0.000001"
-            both = members.join(lead, "bucket").filter(near.format(p.similarity, p.similarity / (1 + p.similarity)))
-            pairs = both.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.col("n").alias("na"), F.col("nx").alias("nb")).dropDuplicates(["a", "b"])
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            active = members.drop("comp")
-            if leaders > 1 or refined:  # a leader was compared with all of other classes; the sketches' first ones are needed for the prefixes
-                active = active.join(ranked.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        pairs = pairs.filter("least(na, nb) >= %r * greatest(na, nb)" % p.similarity)
+        first = _first_of(members.filter("leads"), leaders)
+        lead = first.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("comp").alias("cx"))
+        # of two that meet in their first common word no more than the rest of either can agree
+        both = members.join(lead, "bucket").filter(near.format(p.similarity, p.similarity / (1 + p.similarity)))
+        pairs = both.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        for known in tested:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
         links = cut(verified(pairs, texts, p), "links")
-        active = cut(active, "buckets")
-        tested = links.select("a", "b") if tested is None else tested.unionByName(links.select("a", "b"))
-        ca, cb = (comps.withColumnsRenamed({"node": x, "comp": f"c{x}"}) for x in ("a", "b"))
-        edges = cut(links.filter(F.col("similarity") >= p.similarity).join(ca, "a").join(cb, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
-        if not edges.isEmpty():
-            onto = components(edges).withColumnsRenamed({"node": "was", "comp": "now"})
-            comps = cut(comps.join(onto, comps["comp"] == onto["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), "comps")
-        if leaders == 1 and not refined:  # what is mixed still goes on by prefixes, in which all similar pairs meet
-            refined, leaders = True, 0
-            left = active.join(comps, "node")  # the sketches' buckets still have their leaders
-            mixed = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-            some = cut(left.join(mixed, "bucket").select("node").distinct(), "mixed")
-            active = cut(_prefix_buckets(texts.join(some, "node"), p), "prefixes")
-        leaders = 4 * leaders or 1
-    joined = nodes.select("node", "rep").join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    return rows.select("doc_id", "node"), joined
+        tested.append(links.select("a", "b"))
+        # a leader was compared with all of other classes
+        active = cut(members.drop("comp").join(first.select("bucket", "node"), ["bucket", "node"], "left_anti"), "prefixes")
+        alike = links.filter(F.col("similarity") >= p.similarity)
+        if not alike.isEmpty():
+            ca, cb = (now.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b"))
+            edges = alike.join(ca, "a").join(cb, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            onto = components(edges).withColumnsRenamed({"node": "from", "comp": "to"})
+            now = cut(now.join(onto, now["comp"] == onto["from"], "left").select("node", "was", F.coalesce("to", "comp").alias("comp")), "now")
+        leaders *= 16
+    changed = now.filter("was <> comp").select("was", "comp").distinct()
+    return rows.select("doc_id", "node"), comps.join(changed, "was", "left").select("node", "rep", F.coalesce("comp", "was").alias("comp"))
 
 
 def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(bucket, node, n, r, leads): of each text its rarest labelled shingles, as many as two similar texts must have one in
-    common of: with n shingles, n - ceil(similarity * n) + 1 in an order that holds for all texts. Of two similar texts the
-    one that isn't longer has it among fewer still, as 2 * similarity / (1 + similarity) of its shingles must agree:
+    """(bucket, node, n, r, leads): of each text its rarest labelled words, as many as two similar texts must have one in
+    common of: with n words, n - ceil(similarity * n) + 1 in an order that holds for all texts. Of two similar texts the
+    one that isn't longer has it among fewer still, as 2 * similarity / (1 + similarity) of its words must agree:
     these lead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(p.words)
+        hashed = Words()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 at, out, ns = [], [], []
                 for i, t in enumerate(b.column(1).slice(k, 500).to_pylist()):
-                    s = shingles(t)
+                    s = hashed(split(t))
                     out.append(mix(s + occurrences(s).astype(np.uint64) * _MIX[0]).view(np.int64))
                     at.append(np.full(len(s), k + i))
                     ns.append(np.full(len(s), len(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), b.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(ns))], names=["bucket", "node", "n"])
 
-    every = cut(texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint"), "shingles")
+    every = cut(texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint"), "words")
     often = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
-    order = F.row_number().over(W.partitionBy("node").orderBy("often", "bucket"))  # a text's own shingles
+    order = F.row_number().over(W.partitionBy("node").orderBy("often", "bucket"))  # a text's own words
     least = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1
     kept = every.join(often, "bucket").withColumn("r", order).filter(F.col("r") <= least(p.similarity)).filter("often > 1")
     return kept.select("bucket", "node", "n", F.col("r").cast("int").alias("r"), (F.col("r") <= least(2 * p.similarity / (1 + p.similarity))).alias("leads"))
