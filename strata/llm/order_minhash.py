@@ -44,13 +44,17 @@ from .texts import hold
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Lists of up to so many texts are broadcast (some 50 bytes each), to shuffle fewer texts; beyond, all are shuffled.
+BROADCAST_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class NearDupParams:
     words: int = 5
     similarity: float = 0.8
-    #: With 14 sketches of 3, a pair that has a share q of its shingles in common is missed with a probability of about
-    #: (1 - q ** 3) ** 14: 0.0001 for q = 0.8 (two of a hundred words changed), 0.004 for 0.7, 0.15 for 0.5.
-    sketches: int = 14
+    #: With 20 sketches of 3, a pair that has a share q of its shingles in common is missed with a probability of about
+    #: (1 - q ** 3) ** 20: below 0.0001 for q = 0.8 (two of a hundred words changed), 0.0002 for 0.7, 0.07 for 0.5.
+    sketches: int = 20
     picked: int = 3
     #: Texts of fewer words, and those that are similar to one, go to the buckets of rarest words at once.
     short: int = 20
@@ -279,7 +283,9 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
     dealt, few = _salted(every, "bucket", "node", lead, "bucket", nodes.count())
     active = cut(dealt.join(few, ["bucket", "salt"]).select("bucket", "node", "n", "a", "na"), "buckets")
     small = nodes.filter((F.col("n") > 0) & (F.col("n") < p.short / p.similarity)).select("node")
-    wanted = active.select("node").union(small).distinct().join(nodes.select("node", "rep"), "node")
+    wanted = cut(active.select("node").union(small).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # only texts that are wanted are shuffled
+        wanted = F.broadcast(wanted)
     held = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "w"), F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = _with_print(held, "node").filter(F.col("node") == F.col("w")).select("node", "text")
     texts = cut(texts.dropDuplicates(["node"]) if not _unique(rows) else texts, "texts")

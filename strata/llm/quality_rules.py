@@ -1,16 +1,20 @@
 """Operator 1: quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets integer features. Per language and source a log-linear histogram of each feature
-(32 steps to each power of two, so a relative error below 1/32) is counted: a quantile sketch that
+(256 steps to each power of two, so a relative error below 1/256) is counted: a quantile sketch that
 merges by adding counts, so the sketches of a language and of the corpus are sums of those of their
-sources. Fences (quartile, plus or minus ``reach`` times the range between the quartiles, plus a least
-width) come from the sketch of the document's language and source; from the language's where that has
+sources. A fence is the quartile, plus or minus ``reach`` times its distance from the median, plus what
+``few`` occurrences make in a document as short as the shortest twentieth (the 5 % quantile of the words,
+lines or characters that the feature is counted over): so a feature that most documents of a group lack
+has a fence above nothing, and it is wide where documents are short. No fence holds a constant.
+Fences come from the sketches of the document's language and source; from the language's where that has
 fewer than ``least_rows`` rows, then from the corpus'. They are joined back and documents beyond go.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language or source
-is a group of its own (null-safe join); repeated rows and ids are judged one by one; extra columns stay
-out of the way as only needed columns are read; an empty table gives no rows. A document's windows are
-compared by 64-bit hashes of their words, within the document only.
+is a group of its own (null-safe join); repeated rows and ids are judged one by one; a value at its fence
+is kept; very long texts are counted whole, in one row's arrays; only needed columns are read, and
+``filter_documents`` renames the others while it works, so that no name clashes; an empty table gives no
+rows. A document's windows are compared by 64-bit hashes of their words, within the document only.
 """
 
 from __future__ import annotations
@@ -25,14 +29,21 @@ from .common import WORD_SPLIT, cut, documents, fresh, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "[A-ZÀ-ÖØ-Þ]"
-#: Feature, sides that are fenced, least width of the fence (features are per thousand).
-METRICS = (("symbols", False, 150), ("dup_lines", False, 500), ("repeats", False, 200), ("word_length", True, 1500), ("upper", False, 150))
+#: Feature (per thousand of what it is counted over): the count, what it is counted over, whether both sides are fenced,
+#: how many occurrences come together (a repeated window has five words).
+METRICS = {"symbols": ("n_symbols", "n_words", False, 1), "dup_lines": ("n_dup_lines", "n_lines", False, 1), "repeats": ("n_repeat_words", "n_words", False, 5),
+           "word_length": ("word_chars", "n_words", True, 1), "upper": ("n_upper", "word_chars", False, 1)}
+#: What features are counted over has sketches too.
+SIZES = ("n_words", "n_lines", "word_chars")
+#: Quantiles that fences are made of, in twentieths.
+QUANTILES = {"q05": 1, "q25": 5, "q50": 10, "q75": 15}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    reach: int = 3
+    reach: int = 9
+    few: int = 3
     least_rows: int = 100
     #: Up to so many groups the table of fences is broadcast; beyond, it is joined by a shuffle.
     broadcast_groups: int = 20_000
@@ -70,9 +81,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 
 def _metrics() -> dict[str, Column]:
-    per = lambda a, b: F.expr(f"(1000 * {a}) div greatest({b}, 1)")
-    return {"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"),
-            "word_length": per("word_chars", "n_words"), "upper": per("n_upper", "word_chars")}
+    return {k: F.expr(f"(1000 * {count}) div greatest({over}, 1)") for k, (count, over, _, _) in METRICS.items()}
 
 
 def base_failed() -> Column:
@@ -80,25 +89,36 @@ def base_failed() -> Column:
 
 
 def _bucket(v: str) -> str:
-    step = f"greatest(length(bin({v})) - 6, 0)"
+    step = f"greatest(length(bin({v})) - 9, 0)"
     return f"shiftleft(shiftright({v}, {step}), {step})"
 
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): the mergeable sketches of documents that pass the base rule."""
-    ms = _metrics()
+    ms = _metrics() | {k: F.col(k) for k in SIZES}
     wide = counted.filter(~base_failed()).select("lang", "source", *[c.alias(k) for k, c in ms.items()])
     stack = ", ".join(f"'{k}', `{k}`" for k in ms)
     return wide.select("lang", "source", F.expr(f"stack({len(ms)}, {stack}) as (metric, v)")).withColumn("bucket", F.expr(_bucket("v"))).groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sk: DataFrame, by: list[str]) -> DataFrame:
-    """The sketches merged to ``by``, then (by, metric, total, q1, q3)."""
+def _quantiles(sk: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches merged to ``by``, then (by, metric, total, QUANTILES)."""
     merged = sk.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "metric")
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    first = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    return run.groupBy(*by, "metric").agg(F.max("total").alias("total"), first(1).alias("q1"), first(3).alias("q3"))
+    first = lambda q: F.min(F.when(20 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
+    return run.groupBy(*by, "metric").agg(F.max("total").alias("total"), *[first(n).alias(q) for q, n in QUANTILES.items()])
+
+
+def _fence_columns(params: QualityParams) -> dict[str, str]:
+    """lo_<metric>, hi_<metric> from the quantiles of a group's features and sizes, as SQL of aggregates by metric."""
+    at = lambda q, k: f"max(CASE WHEN metric = '{k}' THEN {q} END)"
+    out = {}
+    for k, (_, over, both, together) in METRICS.items():
+        slack = f"CAST(floor({1000 * params.few * together} / greatest({at('q05', over)}, 1)) AS BIGINT)"
+        out[f"lo_{k}"] = f"{at('q25', k)} - {params.reach} * ({at('q50', k)} - {at('q25', k)}) - {slack}" if both else "CAST(NULL AS BIGINT)"
+        out[f"hi_{k}"] = f"{at('q75', k)} + {params.reach} * ({at('q75', k)} - {at('q50', k)}) + {slack}"
+    return out
 
 
 def fences(counted: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
@@ -106,13 +126,7 @@ def fences(counted: DataFrame, params: QualityParams = QualityParams()) -> DataF
     sk = cut(sketches(counted), "sketches")  # as many rows as groups have steps, not documents
 
     def wide(by: list[str], tag: str) -> DataFrame:
-        q = _quartiles(sk, by)
-        aggs = [F.max("total").alias(f"total{tag}")]
-        for name, _, width in METRICS:
-            pick = lambda c, name=name: F.max(F.when(F.col("metric") == name, c))
-            span = params.reach * (F.col("q3") - F.col("q1")) + width
-            aggs += [pick(F.col("q1") - span).alias(f"lo_{name}{tag}"), pick(F.col("q3") + span).alias(f"hi_{name}{tag}")]
-        return q.groupBy(*by).agg(*aggs)
+        return _quantiles(sk, by).groupBy(*by).agg(F.max("total").alias(f"total{tag}"), *[F.expr(e).alias(f"{c}{tag}") for c, e in _fence_columns(params).items()])
 
     own, lang, whole = wide(["lang", "source"], "_own"), wide(["lang"], "_lang").withColumnRenamed("lang", "lang_"), wide([], "_all")
     groups = counted.select("lang", "source").distinct()  # groups without a passing document have fences too
@@ -121,7 +135,7 @@ def fences(counted: DataFrame, params: QualityParams = QualityParams()) -> DataF
     df = df.join(lang, F.col("lang").eqNullSafe(F.col("lang_")), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
     big = lambda tag: F.coalesce(F.col(f"total{tag}"), F.lit(0)) >= params.least_rows
     pick = lambda c: F.when(big("_own"), F.col(f"{c}_own")).when(big("_lang"), F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all")).alias(c)
-    return df.select("lang", "source", *[pick(f"{side}_{name}") for name, _, _ in METRICS for side in ("lo", "hi")])
+    return df.select("lang", "source", *[pick(c) for c in _fence_columns(params)])
 
 
 def judge(counted: DataFrame, fence: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
@@ -135,7 +149,7 @@ def judge(counted: DataFrame, fence: DataFrame, params: QualityParams = QualityP
     df = counted.withColumns({f"__m_{k}": c for k, c in ms.items()})
     df = df.join(f, df["lang"].eqNullSafe(f["__f_lang"]) & df["source"].eqNullSafe(f["__f_source"]), "left")
     inside = F.lit(True)
-    for name, both, _ in METRICS:
+    for name, (_, _, both, _) in METRICS.items():
         inside &= F.coalesce(F.col(f"__m_{name}") <= F.col(f"__f_hi_{name}"), F.lit(True))
         if both:
             inside &= F.coalesce(F.col(f"__m_{name}") >= F.col(f"__f_lo_{name}"), F.lit(True))
@@ -151,10 +165,10 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 def filter_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. The counts are written beside the rows, so that they
     are made once and the verdict reads them (else the optimizer would put them into the filter again and again)."""
-    clash = {c: f"__own_{c}" for c in docs.columns if c in (*COUNTS, "base_failed", "kept")}
-    counted = cut(with_counts(docs.withColumnsRenamed(clash)), "counted")
+    aside = {c: f"__col_{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "source", "text")}
+    counted = cut(with_counts(docs.withColumnsRenamed(aside)), "counted")
     judged = judge(counted, fences(counted, params), params)
-    return judged.filter("kept").select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    return judged.filter("kept").select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,22 +177,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     ws = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    step = "greatest(length(bin(v)) - 6, 0)"
-    metric = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"), "upper": ("n_upper", "word_chars")}
-    value = lambda k: f"(1000 * {metric[k][0]}) // greatest({metric[k][1]}, 1)"
+    step = "greatest(length(bin(v)) - 9, 0)"
     p = QualityParams()
-    width = "CASE metric " + " ".join(f"WHEN '{k}' THEN {w}" for k, _, w in METRICS) + " END"
-    low = "CASE metric " + " ".join(f"WHEN '{k}' THEN {str(b).lower()}" for k, b, _ in METRICS) + " END"
-    unions = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS metric, {value(k)} AS v FROM judged_base WHERE NOT base_failed" for k in metric)
-    everyone = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS metric, {value(k)} AS v FROM judged_base" for k in metric)
+    value = lambda k: f"(1000 * {METRICS[k][0]}) // greatest({METRICS[k][1]}, 1)"
+    unions = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {value(k) if k in METRICS else k} AS v FROM judged_base WHERE NOT base_failed" for k in (*METRICS, *SIZES))
+    quantiles = ", ".join(f"min(CASE WHEN 20 * upto >= {n} * total THEN bucket END) AS {q}" for q, n in QUANTILES.items())
+    columns = _fence_columns(p)
 
     def level(name: str, by: str) -> str:
         cols = f"{by}, " if by else ""
-        return (f"{name}_c AS (SELECT {cols}metric, bucket, sum(n) AS n FROM sk GROUP BY {cols}metric, bucket), "
-                f"{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {cols}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {cols}metric) AS total FROM {name}_c), "
-                f"{name} AS (SELECT {cols}metric, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM {name}_r GROUP BY {cols}metric)")
-
-    pick = lambda q: f"CASE WHEN coalesce(o.total, 0) >= {p.least_rows} THEN o.{q} WHEN coalesce(l.total, 0) >= {p.least_rows} THEN l.{q} ELSE a.{q} END"
+        fences = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+        return (f"{name}_c AS (SELECT {cols}metric, bucket, CAST(sum(n) AS BIGINT) AS n FROM sk GROUP BY {cols}metric, bucket), "
+                f"{name}_r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {cols}metric ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY {cols}metric) AS BIGINT) AS total FROM {name}_c), "
+                f"{name}_q AS (SELECT {cols}metric, max(total) AS total, {quantiles} FROM {name}_r GROUP BY {cols}metric), "
+                f"{name} AS (SELECT {cols}max(total) AS total, {fences} FROM {name}_q {f'GROUP BY {by}' if by else ''})")
+
+    pick = lambda c: f"CASE WHEN coalesce(o.total, 0) >= {p.least_rows} THEN o.{c} WHEN coalesce(l.total, 0) >= {p.least_rows} THEN l.{c} ELSE a.{c} END"
+    inside = " AND ".join(f"coalesce({value(k)} <= {pick('hi_' + k)}, true)" + (f" AND coalesce({value(k)} >= {pick('lo_' + k)}, true)" if both else "") for k, (_, _, both, _) in METRICS.items())
     return f"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {ws}, '')) > 0) AS ls FROM base),
@@ -190,12 +205,9 @@ counted AS (SELECT base.rid, doc_id, lang, source, len(ws) AS n_words, length(tr
   FROM base JOIN w USING (rid) LEFT JOIN rw ON rw.rid = base.rid),
 judged_base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
 sk AS (SELECT lang, source, metric, (v >> {step}) << {step} AS bucket, count(*) AS n FROM ({unions}) GROUP BY ALL),
-{level("own", "lang, source")}, {level("lng", "lang")}, {level("al", "")},
-beyond AS (SELECT v.rid FROM ({everyone}) v LEFT JOIN own o ON v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source AND v.metric = o.metric
-  LEFT JOIN lng l ON v.lang IS NOT DISTINCT FROM l.lang AND v.metric = l.metric LEFT JOIN al a ON v.metric = a.metric
-  WHERE v.v > {pick("q3")} + {p.reach} * ({pick("q3")} - {pick("q1")}) + {width.replace("metric", "v.metric")}
-    OR ({low.replace("metric", "v.metric")} AND v.v < {pick("q1")} - {p.reach} * ({pick("q3")} - {pick("q1")}) - {width.replace("metric", "v.metric")}))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM beyond) AS kept FROM judged_base"""
+{level("own", "lang, source")}, {level("lng", "lang")}, {level("al", "")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
+FROM judged_base j LEFT JOIN own o ON j.lang IS NOT DISTINCT FROM o.lang AND j.source IS NOT DISTINCT FROM o.source LEFT JOIN lng l ON j.lang IS NOT DISTINCT FROM l.lang CROSS JOIN al a"""
 
 
 QUERIES = {"op1_quality_rules": query}

@@ -75,3 +75,43 @@ def test_a_chain_and_a_star_are_one_class(spark):
     df = spark.createDataFrame(list(enumerate([*star, *chain, *other])), "doc_id bigint, text string")
     got = dict(map(tuple, m.near_duplicates(df).collect()))
     assert {got[i] for i in range(41)} == {0} and all(got[i] == i for i in range(41, 61))
+
+
+#: Share of planted copies that must be found, by share of words that were replaced. 0.1 is at the limit of similarity (0.82 on average).
+RECALL = {0.01: 0.99, 0.03: 0.98, 0.05: 0.95, 0.08: 0.8}
+
+
+def test_recall_of_edited_copies_by_rate_and_length(spark):
+    """Copies with words replaced, 40 for each rate and length: shares found by the whole operator."""
+    import random
+
+    from .conftest import prose
+
+    rng, rows, want = random.Random(11), [], {}
+    for rate in RECALL:
+        for n in (30, 60, 100, 300, 1000):
+            for _ in range(40):
+                base = " ".join(w + str(rng.randrange(300)) for w in prose(rng, n).split())
+                ws = base.split()
+                for i in rng.sample(range(n), max(1, round(rate * n))):
+                    ws[i] = "edit" + str(rng.randrange(10**6))
+                want[len(rows) + 1] = (rate, n)
+                rows += [(len(rows), base), (len(rows) + 1, " ".join(ws))]
+    got = dict(map(tuple, m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()))
+    cells = Counter(want.values())
+    found = Counter(want[i] for i in want if got[i] == i - 1)
+    shares = {c: found[c] / cells[c] for c in cells}
+    print({c: round(s, 3) for c, s in shares.items()})
+    assert all(got[i - 1] == i - 1 for i in want)  # no two bases are one
+    assert all(sum(found[r, n] for n in (60, 100, 300, 1000)) >= least * 160 for r, least in RECALL.items()), shares
+
+
+def test_repetitive_long_texts(spark):
+    """Long texts of few different words: the alignment's work stays bounded."""
+    import time
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 3, 60_000).astype(np.uint64)
+    b = np.delete(a, rng.integers(0, 60_000, 500))
+    began = time.time()
+    assert m.similarity(a, b, 0.8) > 0.98 and time.time() - began < 30

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 from strata.llm import quality_rules as q
+from strata.llm.common import cut
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -32,6 +33,43 @@ def test_fences_drop_the_odd_one(spark):
     assert got.pop(999) is False and all(got.values())
 
 
+def _texts(rng, n, lines, marks, length):
+    """n texts of words of about ``length`` letters; ``marks`` of a hundred words get a symbol."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([length - 1, length, length + 1]))) + ("&" if rng.random() < marks / 100 else "")
+    return ["\n".join(" ".join(word() for _ in range(12)) for _ in range(lines)) for _ in range(n)]
+
+
+def test_groups_of_other_habits_have_other_fences(spark):
+    """The same document is kept in one source and goes in another: each feature's fence follows its group's sketch."""
+    import random
+
+    rng = random.Random(4)
+    groups = {"prose": _texts(rng, 150, 30, 0, 6), "code": _texts(rng, 150, 30, 30, 9), "notes": _texts(rng, 150, 2, 0, 6)}
+    groups["code"] = [t + ("\n" + t.split("\n")[0]) * (k % 9) for k, t in enumerate(groups["code"])]  # lines are said again there
+    rows = [(i, t, "en", s) for s, ts in groups.items() for i, t in enumerate(ts)]
+    shown = {"marked": _texts(rng, 1, 30, 25, 9)[0], "long": _texts(rng, 1, 30, 0, 9)[0], "again": "\n".join(groups["prose"][0].split("\n")[:30] + ["x y"] * 6)}
+    rows += [(f"{s}-{k}", t, "en", s) for s in groups for k, t in shown.items()]
+    docs = spark.createDataFrame([(f"{i}" if s in str(i) else f"{s}{i}", t, x, s) for i, t, x, s in rows], "doc_id string, text string, lang string, source string")
+    fence = {r["source"]: r for r in q.fences(cut(q.with_counts(docs))).collect()}
+    for name in q.METRICS:
+        found = {fence[s][f"hi_{name}"] for s in groups}
+        assert len(found) > (1 if name == "upper" else 2 if name != "repeats" else 1), name
+    assert fence["prose"]["hi_dup_lines"] < 200 < fence["code"]["hi_dup_lines"] and fence["prose"]["hi_symbols"] < 60 < fence["code"]["hi_symbols"]
+    kept = {r.doc_id for r in q.quality_rules(docs).filter("kept").collect()}
+    assert {x for x in kept if "-" in x} == {"code-marked", "code-long", "notes-again"}
+    assert sum("-" not in x for x in kept) >= 440
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"some words of document {i} that go on and on for a while", "en", "s") for i in range(5)] + [(9, "short", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    for names in (["N_WORDS", "Kept"], ["__f_lang", "__m_symbols"], ["__own_kept", "kept"], ["base_failed", "__col_0"]):
+        odd = docs.select(*[F.lit(k).alias(n) for k, n in enumerate(names)], *docs.columns)
+        out = q.filter_documents(odd)
+        assert out.columns == odd.columns and {r["doc_id"] for r in out.collect()} == set(range(5))
+
+
 def test_filter_keeps_columns(docs, none):
     out = q.filter_documents(docs)
     assert out.columns == docs.columns
