@@ -57,7 +57,7 @@ def test_groups_of_other_habits_have_other_fences(spark):
     assert fence["prose"]["hi_dup_lines"] < 200 < fence["code"]["hi_dup_lines"] and fence["prose"]["hi_symbols"] < 60 < fence["code"]["hi_symbols"]
     kept = {r.doc_id for r in q.quality_rules(docs).filter("kept").collect()}
     assert {x for x in kept if "-" in x} == {"code-marked", "code-long", "notes-again"}
-    assert sum("-" not in x for x in kept) >= 440
+    assert sum("-" not in x for x in kept) >= 410  # lines said too often fail the base rule
 
 
 def test_clashing_names(spark):
