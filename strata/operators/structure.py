@@ -1,17 +1,20 @@
 """From texts to trees: document types, section headers, sections, chunks and nodes.
 
-All windows go over one document each, so a plan has one exchange by document whatever the number of steps.
+Sections and chunks are made from each document's row alone, in one Arrow pass without an exchange; trees are windows
+over a document's chunks, without their texts. Callers stage the typed documents and chunks that they read twice.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import patterns as P
@@ -80,65 +83,83 @@ def typed(docs: DataFrame) -> DataFrame:
 
 # ---- sections -------------------------------------------------------------------------------------------------
 
-def header_level(line: Column, kind: Column) -> Column:
-    """Level of the first pattern that a line matches in its type's list; null if it is no header."""
-    def chain(name: str) -> Column:
-        return reduce(lambda out, x: F.when(has(line, x[0]), x[1]).otherwise(out), reversed(P.headers_of(name)), F.lit(None).cast("int"))
+_FLAGS = re.IGNORECASE | re.ASCII  # classes and cases as in the engine's own expressions
+_SPACE, _BLANK = " \t\n\r\f\v", re.compile(r"[ \t\n\r\f\v]*")
+_CANDIDATE = re.compile(P.MAYBE_HEADER + "[^\n]*", _FLAGS | re.MULTILINE)
 
-    groups: dict[tuple, list[str]] = {}
-    for name in P.TYPE_HEADERS:
-        groups.setdefault(tuple(P.headers_of(name)), []).append(name)
-    out = reduce(lambda c, names: F.when(kind.isin(names), chain(names[0])).otherwise(c), groups.values(), chain("generic"))
-    return F.when(has(line, P.MAYBE_HEADER), out)
 
+@lru_cache(maxsize=64)
+def _levels(doc_type: str) -> list[tuple[re.Pattern, int]]:
+    return [(re.compile(p, _FLAGS), level) for p, level in P.headers_of(doc_type)]
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
+def split_sections(text: str, doc_type: str) -> list[tuple[int, int, str | None, int]]:
+    """(start, stop, title, level): header to header, and the untitled text before the first. A header is a line that
+    matches a pattern of its type's list; the first pattern gives its level."""
+    found = []
+    for m in _CANDIDATE.finditer(text):
+        level = next((n for p, n in _levels(doc_type) if p.search(m[0])), None)
+        if level is not None:
+            found.append((m.start(), m[0].strip(_SPACE), level))
+    if not found or found[0][0] > 0:
+        found.insert(0, (0, None, 0))
+    return [(a, b, title, level) for (a, title, level), b in zip(found, [*(x[0] for x in found[1:]), len(text)], strict=True)]
 
-def headers(docs: DataFrame) -> DataFrame:
-    """(doc_no, n_chars, start, title, level) of the header lines; docs: doc_no, doc_type, text."""
-    lines = docs.select("doc_no", "doc_type", F.length("text").alias("n_chars"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    w = W.partitionBy("doc_no").orderBy("i")
-    placed = lines.withColumn("start", F.sum(F.length("line") + 1).over(w) - F.length("line") - 1)
-    level = header_level(F.col("line"), F.col("doc_type"))
-    return placed.withColumn("level", level).filter("level is not null").select("doc_no", "n_chars", F.col("start").cast("long").alias("start"), strip(F.col("line")).alias("title"), "level")
+
+def _by_document(docs: DataFrame, fields: list[tuple[str, str, pa.DataType]], make: Callable) -> DataFrame:
+    """doc_no and ``fields`` of the rows that ``make(text, doc_type)`` gives for each document, about a million characters at a time."""
+    source = docs.select("doc_no", "doc_type", F.coalesce("text", F.lit("")).alias("text"))
+    kind = dict(source.dtypes)["doc_no"]
+    names, types = [n for n, _, _ in fields], [t for _, _, t in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows, size = [], [], 0
+            for i in range(b.num_rows):
+                text = b.column(2)[i].as_py()
+                new = make(text, b.column(1)[i].as_py())
+                at += [i] * len(new)
+                rows += new
+                size += len(text)
+                if rows and (size > 1_000_000 or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_no", *names])
+                    at, rows, size = [], [], 0
+
+    return source.mapInArrow(run, ", ".join([f"doc_no {kind}", *(f"{n} {k}" for n, k, _ in fields)]))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """(doc_no, start, stop, title, level): header to header, and the untitled text before the first."""
-    h = headers(docs)
-    w = W.partitionBy("doc_no").orderBy("start")
-    titled = h.select("doc_no", "start", F.lead("start", 1).over(w).alias("next"), "n_chars", "title", "level").select("doc_no", "start", F.coalesce("next", F.col("n_chars").cast("long")).alias("stop"), "title", "level")
-    first = h.groupBy("doc_no").agg(F.min("start").alias("first"))
-    lead = docs.select("doc_no", F.length("text").cast("long").alias("n")).join(first, "doc_no", "left").withColumn("stop", F.coalesce("first", "n")).filter("first is null or stop > 0")
-    return titled.unionByName(lead.select("doc_no", F.lit(0).cast("long").alias("start"), "stop", F.lit(None).cast("string").alias("title"), F.lit(0).alias("level")))
+    """(doc_no, start, stop, title, level); docs: doc_no, doc_type, text."""
+    return _by_document(docs, [("start", "bigint", pa.int64()), ("stop", "bigint", pa.int64()), ("title", "string", pa.string()), ("level", "int", pa.int32())], split_sections)
 
 
-# ---- chunks ---------------------------------------------------------------------------------------------------
+def headers(docs: DataFrame) -> DataFrame:
+    """(doc_no, start, title, level) of the header lines."""
+    return sections(docs).filter("title is not null").select("doc_no", "start", "title", "level")
 
-_PIECES = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("text", T.StringType())]))
 
+# ---- chunks ---------------------------------------------------------------------------------------------------
 
 def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(doc_no, chunk_index, start_char, end_char, section_title, section_level, text).
-
-    Sections up to the size are chunks as they are, natively; longer ones go through an Arrow function.
-    """
-    parts = sections(docs) if config.respect_sections else docs.select("doc_no", F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("stop"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("level"))
-    cut = parts.join(docs.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))")).filter(F.col("text").rlike(r"\S"))
-    size, overlap, paragraphs = config.max_chars, config.overlap_chars, config.respect_paragraphs
+    """(doc_no, chunk_index, start_char, end_char, section_title, section_level, text): sections up to the size are chunks
+    as they are, longer ones are split; blank ones are left out."""
+    size, overlap, paragraphs, titled = config.max_chars, config.overlap_chars, config.respect_paragraphs, config.respect_sections
 
-    @F.pandas_udf(_PIECES)
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"at": a, "text": p} for a, p in pieces(t, size, overlap, paragraphs)])
+    def make(text: str, doc_type: str) -> list[tuple]:
+        out = []
+        for start, stop, title, level in split_sections(text, doc_type) if titled else [(0, len(text), None, 0)]:
+            own = text[start:stop]
+            if not _BLANK.fullmatch(own):
+                for at, part in pieces(own, size, overlap, paragraphs) if len(own) > size else [(0, own)]:
+                    out.append((len(out), start + at, start + at + len(part), title, level, part))
+        return out
 
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("text").alias("text")))
-    split = cut.withColumn("ps", packed(F.when(F.length("text") > size, F.col("text"))))  # sections are made once for both
-    both = split.select("doc_no", F.col("start").alias("section"), "title", "level", F.posexplode(F.coalesce("ps", whole)).alias("k", "p"))
-    both = both.select("doc_no", "section", "k", (F.col("section") + F.col("p.at")).alias("start_char"), "title", "level", F.col("p.text").alias("text"))
-    w = W.partitionBy("doc_no").orderBy("section", "k")
-    return both.select("doc_no", (F.row_number().over(w) - 1).alias("chunk_index"), "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), F.col("title").alias("section_title"), F.col("level").alias("section_level"), "text")
+    return _by_document(docs, [("chunk_index", "int", pa.int32()), ("start_char", "bigint", pa.int64()), ("end_char", "bigint", pa.int64()),
+                               ("section_title", "string", pa.string()), ("section_level", "int", pa.int32()), ("text", "string", pa.string())], make)
 
 
 # ---- trees ----------------------------------------------------------------------------------------------------
@@ -218,10 +239,21 @@ def roman_value(c: Column) -> Column:
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """Adds depth (0: root) and path (ids from the root): levels are 0 to 4, so four steps up are enough."""
-    out = nodes.withColumn("depth", F.lit(0)).withColumn("path", F.array("node_id")).withColumn("up", F.col("parent_id"))
-    p = nodes.select(F.col("doc_no").alias("d"), F.col("node_id").alias("n"), F.col("parent_id").alias("pp"))
-    for _ in range(4):
-        out = out.join(p, (F.col("doc_no") == F.col("d")) & (F.col("up") == F.col("n")), "left")
-        out = out.withColumn("depth", F.col("depth") + F.col("n").isNotNull().cast("int")).withColumn("path", F.when(F.col("n").isNotNull(), F.concat(F.array("n"), F.col("path"))).otherwise(F.col("path"))).withColumn("up", F.col("pp")).drop("d", "n", "pp")
-    return out.drop("up")
+    """Adds depth (0: root) and path (ids from the root), whatever the depth; one pass over each document's nodes."""
+    keyed = nodes.select("doc_no", "node_id", "parent_id")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        up = {n: p for n, p in zip(pdf.node_id, pdf.parent_id, strict=True)}
+        paths: dict[str, list[str]] = {}
+        for n in up:
+            chain = []
+            while n is not None and n in up and n not in paths:
+                chain.append(n)
+                n = up[n]
+            for x in reversed(chain):
+                paths[x] = [*paths.get(up[x], []), x]
+        return pd.DataFrame({"doc_no": pdf.doc_no, "node_id": pdf.node_id, "depth": [len(paths[n]) - 1 for n in pdf.node_id], "path": [paths[n] for n in pdf.node_id]})
+
+    kind = dict(nodes.dtypes)["doc_no"]
+    told = keyed.groupBy("doc_no").applyInPandas(walk, f"doc_no {kind}, node_id string, depth int, path array<string>")
+    return nodes.join(told, ["doc_no", "node_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import metadata as M
 from ..operators import references as R
+from ..sources.stage import staged
 from ..sources.tables import filings, sql_string
 from . import sql as Q
 from . import structure_queries as SQ
@@ -39,7 +40,9 @@ def _refs(s, d):
 
 
 def _resolved(s, d):
-    return R.resolve(_refs(s, d), SQ.node_table(s, d))
+    """(references with their targets, nodes), the documents read once."""
+    f, n = SQ.documents_and_nodes(s, d)
+    return R.resolve(staged(R.detect(SQ.with_text(n, f)), "references"), n), n
 
 
 def xref_detect(s, d):
@@ -47,24 +50,24 @@ def xref_detect(s, d):
 
 
 def xref_resolve(s, d):
-    return _resolved(s, d).select("doc_no", "source_node_id", "target_description", "target_node_id", "resolved")
+    return _resolved(s, d)[0].select("doc_no", "source_node_id", "target_description", "target_node_id", "resolved")
 
 
 def xref_graph(s, d):
-    return R.graph(_resolved(s, d)).withColumn("targets", F.array_join("targets", ","))
+    return R.graph(_resolved(s, d)[0]).withColumn("targets", F.array_join("targets", ","))
 
 
 def xref_referenced(s, d):
-    return R.referenced(_resolved(s, d), SQ.node_table(s, d)).select("doc_no", "source_node_id", "target_node_id", "target_title")
+    return R.referenced(*_resolved(s, d)).select("doc_no", "source_node_id", "target_node_id", "target_title")
 
 
 def xref_referencing(s, d):
-    return R.referencing(_resolved(s, d))
+    return R.referencing(_resolved(s, d)[0])
 
 
 def xref_network(s, d):
     """References by type: how many, how many resolved, from how many nodes."""
-    return _resolved(s, d).groupBy("ref_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("n_resolved"), F.count_distinct("doc_no", "source_node_id").alias("n_sources"))
+    return _resolved(s, d)[0].groupBy("ref_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("n_resolved"), F.count_distinct("doc_no", "source_node_id").alias("n_sources"))
 
 
 # ---- SQL ------------------------------------------------------------------------------------------------------

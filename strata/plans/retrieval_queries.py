@@ -10,6 +10,7 @@ from ..operators import retrieval as T
 from ..operators import structure as S
 from ..sources import cache as C
 from ..sources import sinks as K
+from ..sources.stage import shared_dir, staged
 from ..sources.tables import load
 from ..streaming import incremental as I
 from . import reference_queries as RQ
@@ -27,12 +28,12 @@ def _topics(s, d):
 
 
 def _nodes(s, d):
-    """Nodes with text and summary."""
-    return T.summaries(SQ.node_texts(s, d))
+    """Nodes with text and summary, made once for a query."""
+    return staged(T.summaries(SQ.node_texts(s, d)), "node_texts")
 
 
 def _slim(s, d):
-    return _nodes(s, d).select("doc_no", "node_id", "ord", "title", "summary")
+    return staged(T.summaries(SQ.node_texts(s, d)).select("doc_no", "node_id", "ord", "title", "summary"), "summaries")
 
 
 def _evidence(s, d):
@@ -53,12 +54,12 @@ def search_topk(s, d):
 
 
 def search_expand(s, d):
-    f = SQ.typed(s, d)
-    n = S.tree_from_chunks(S.chunks(f, SQ.SIZE))
-    texts = n.join(f.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))"))
-    slim = T.summaries(texts).select("doc_no", "node_id", "ord", "title", "summary")
-    found = T.search(_topics(s, d), slim, T.SearchConfig(0.15, 2))
-    return T.expand(found, _topics(s, d), slim, R.resolve(R.detect(texts), n), SEARCH)
+    f, n = SQ.documents_and_nodes(s, d)
+    texts = SQ.with_text(n, f)
+    slim = staged(T.summaries(texts).select("doc_no", "node_id", "ord", "title", "summary"), "summaries")
+    refs = staged(R.detect(texts), "references")
+    found = staged(T.search(_topics(s, d), slim, SEARCH), "found")
+    return T.expand(found, _topics(s, d), slim, R.resolve(refs, n), SEARCH)
 
 
 def provenance_all(s, d):
@@ -161,7 +162,7 @@ def _entries(s, d):
 
 
 def cache_hit_miss(s, d):
-    """Every event asks for the entry that the event before it of the same key made (its SQL asks for half of the events)."""
+    """Every event asks for the entry that the event before it of the same key made."""
     key = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
     e = load(s, d, "events").select("event_type", "ts", key.alias("of"), F.row_number().over(W.partitionBy(key).orderBy("ts", "event_id")).alias("turn"))
     at = lambda n: F.concat_ws("#", "of", n.cast("string")).alias("key")
@@ -181,11 +182,7 @@ def stream_accumulate(s, d):
 
 def incremental_index(s, d):
     """The nodes of the documents, delivered as a stream and drained."""
-    folder = s.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="strata-stream-")
+    folder = shared_dir(s)
     schema = load(s, d, "documents").schema
     return I.drain(s, f"{d}/document[s].parquet", schema, folder, SQ.SIZE).groupBy("title", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("end_char").alias("chars"))
 
@@ -218,15 +215,15 @@ fold AS (WITH RECURSIVE r AS (SELECT doc_no, ord, 0 AS batch, 1 AS n, t FROM siz
   FROM r JOIN sizes z ON z.doc_no = r.doc_no AND z.ord = r.ord + 1) SELECT * FROM r)"""
 
 
-_ENTRIES = "entries AS (SELECT event_type || ':' || user_id AS key, max(ts) AS created_at, max(ts) + INTERVAL 6 HOUR AS expires_at, count(*) AS hit_count FROM events WHERE event_id % 2 = 0 GROUP BY 1)"
+_ENTRIES = "entries AS (SELECT event_type || ':' || user_id AS key, max(ts) AS created_at, max(ts) + INTERVAL 6 HOUR AS expires_at, count(*) AS hit_count FROM events GROUP BY 1)"
 _STREAM = Q.NODES.replace(Q.filings_sql(), "filings AS (SELECT doc_id AS doc_no, '' AS doc_name, coalesce(text, '') AS text FROM documents)")
 ORACLES = {
     "node_summaries": Q.with_(TEXTS, "SELECT doc_no, node_id, md5(coalesce(summary, '')) AS summary_md5 FROM summed"),
     "search_topk": Q.with_(SCORES, f"SELECT query_id, doc_no, node_id, ord, score, rank FROM ({_TOPK}) WHERE rank <= 20"),
     "search_expand": Q.with_(RQ.REFS.removeprefix("") + ", " + SCORES.removeprefix(Q.NODES).lstrip(",\n").replace("nodetexts AS (SELECT n.*", "nodetexts2 AS (SELECT n.*").replace("FROM nodetexts)", "FROM nodetexts2)", 1),
-        f"""SELECT s.query_id, s.doc_no, s.node_id, s.ord, s.score FROM evidence s JOIN (SELECT DISTINCT f.query_id, f.doc_no, r.target_node_id AS node_id FROM (SELECT * FROM ({_TOPK}) WHERE rank <= 2) f
+        f"""SELECT s.query_id, s.doc_no, s.node_id, s.ord, s.score FROM evidence s JOIN (SELECT DISTINCT f.query_id, f.doc_no, r.target_node_id AS node_id FROM (SELECT * FROM ({_TOPK}) WHERE rank <= 20) f
         JOIN resolved r ON r.doc_no = f.doc_no AND r.source_node_id = f.node_id AND r.resolved) m USING (query_id, doc_no, node_id)
-        WHERE NOT EXISTS (SELECT 1 FROM ({_TOPK}) k WHERE k.rank <= 2 AND k.query_id = s.query_id AND k.doc_no = s.doc_no AND k.node_id = s.node_id)"""),
+        WHERE NOT EXISTS (SELECT 1 FROM ({_TOPK}) k WHERE k.rank <= 20 AND k.query_id = s.query_id AND k.doc_no = s.doc_no AND k.node_id = s.node_id)"""),
     "provenance_all": Q.with_(SCORES, "SELECT query_id, count(*) AS n, max(score) AS best, 1.0::DOUBLE AS scan_coverage FROM evidence GROUP BY query_id"),
     "provenance_doc_order": Q.with_(SCORES, "SELECT query_id, doc_no, ord, node_id, score FROM evidence"),
     "provenance_by_category": Q.with_(SCORES, "SELECT category, count(*) AS n, max(score) AS best FROM cats GROUP BY category"),
@@ -244,7 +241,8 @@ ORACLES = {
     "structure_view": Q.with_(Q.DEPTHS + TEXTS.removeprefix(Q.NODES), """SELECT doc_no, md5(string_agg(repeat('  ', depth) || '[' || node_id || '] ' || title || CASE WHEN length(coalesce(summary, '')) > 0 THEN ' - ' || substr(summary, 1, 60) || '...' ELSE '' END, chr(10) ORDER BY ord)) AS view
         FROM summed JOIN walk USING (doc_no, node_id) GROUP BY doc_no"""),
     "evidence_csv": Q.with_(_EXC, "SELECT node_id, title, printf('%.2f', score) AS relevance_score, 'common words' AS match_reason, len(x) AS excerpt_count FROM exc"),
-    "cache_hit_miss": f"WITH {_ENTRIES} SELECT e.event_type, count(*) AS n, count_if(c.key IS NOT NULL AND c.expires_at >= e.ts) AS hits FROM events e LEFT JOIN entries c ON c.key = e.event_type || ':' || e.user_id WHERE e.event_id % 2 = 1 GROUP BY e.event_type",
+    "cache_hit_miss": """SELECT event_type, count(*) AS n, count_if(before IS NOT NULL AND before + INTERVAL 6 HOUR >= ts) AS hits FROM
+        (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY event_type""",
     "cache_evict_lfu": f"WITH {_ENTRIES} SELECT key, hit_count FROM entries ORDER BY hit_count DESC, created_at DESC, key DESC LIMIT 100",
     "stream_accumulate": "SELECT conv_id, turn, count(*) OVER w AS token_count, md5(string_agg(text, '') OVER w) AS content_md5 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)",
     "incremental_index": Q.with_(_STREAM, "SELECT title, level, count(*) AS n, CAST(sum(end_char) AS BIGINT) AS chars FROM nodes GROUP BY title, level"),

@@ -38,11 +38,22 @@ headers AS (SELECT doc_no, n_chars, CAST(start AS BIGINT) AS start, regexp_repla
 SECTIONS = HEADERS + """,
 sections AS (SELECT doc_no, start, coalesce(lead(start) OVER (PARTITION BY doc_no ORDER BY start), n_chars) AS stop, title, level FROM headers
   UNION ALL SELECT t.doc_no, 0, coalesce(f.first, length(t.text)), NULL, 0 FROM typed t LEFT JOIN (SELECT doc_no, min(start) AS first FROM headers GROUP BY doc_no) f USING (doc_no) WHERE f.first IS NULL OR f.first > 0)"""
-#: With a size that no section passes, each section that isn't blank is one chunk.
+#: Chunks of the default size (7000 characters): a longer section, of one paragraph, is a chunk up to one and a half times
+#: that; beyond, its sentences are put together up to the size.
 CHUNKS = SECTIONS + """,
-cuts AS (SELECT s.doc_no, s.start, s.title, s.level, substr(t.text, CAST(s.start + 1 AS BIGINT), CAST(s.stop - s.start AS BIGINT)) AS text FROM sections s JOIN typed t USING (doc_no)),
-chunks AS (SELECT doc_no, row_number() OVER (PARTITION BY doc_no ORDER BY start) - 1 AS chunk_index, start AS start_char, start + length(text) AS end_char, title AS section_title, level AS section_level, text
-  FROM cuts WHERE regexp_matches(text, '\\S'))"""
+cuts AS MATERIALIZED (SELECT * FROM (SELECT s.doc_no, s.start, s.title, s.level, substr(t.text, CAST(s.start + 1 AS BIGINT), CAST(s.stop - s.start AS BIGINT)) AS text FROM sections s JOIN typed t USING (doc_no)) WHERE regexp_matches(text, '\\S')),
+bodies_long AS MATERIALIZED (SELECT doc_no, start, title, level, start + length(text) - length(regexp_replace(text, '^\\s+', '')) AS b, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM cuts WHERE length(text) > 7000),
+marked AS (SELECT doc_no, start, title, level, b, unnest(p) AS part, generate_subscripts(p, 1) AS k
+  FROM (SELECT *, string_split(regexp_replace(body, '([.!?])(\\s+)', '\\1' || chr(1) || '\\2' || chr(2), 'g'), chr(1)) AS p FROM bodies_long WHERE length(body) > 10500)),
+told_parts AS (SELECT *, CASE WHEN k = 1 THEN part ELSE split_part(part, chr(2), 2) END AS s, CASE WHEN k = 1 THEN length(part) ELSE length(part) - 1 END AS n FROM marked),
+sent AS MATERIALIZED (SELECT doc_no, start, title, level, k, s, CAST(b + sum(n) OVER (PARTITION BY doc_no, start ORDER BY k ROWS UNBOUNDED PRECEDING) - length(s) AS BIGINT) AS place FROM told_parts),
+packed AS MATERIALIZED (WITH RECURSIVE r AS (SELECT doc_no, start, k, 1 AS grp, length(s) AS held FROM sent WHERE k = 1
+  UNION ALL SELECT x.doc_no, x.start, x.k, r.grp + CASE WHEN r.held + length(x.s) > 7000 THEN 1 ELSE 0 END, CASE WHEN r.held + length(x.s) > 7000 THEN length(x.s) ELSE r.held + 1 + length(x.s) END
+  FROM r JOIN sent x ON x.doc_no = r.doc_no AND x.start = r.start AND x.k = r.k + 1) SELECT * FROM r),
+pieces AS (SELECT doc_no, start, title, level, start AS place, text FROM cuts WHERE length(text) <= 7000
+  UNION ALL SELECT doc_no, start, title, level, b, body FROM bodies_long WHERE length(body) <= 10500
+  UNION ALL SELECT doc_no, start, title, level, min(place), string_agg(s, ' ' ORDER BY k) FROM sent JOIN packed USING (doc_no, start, k) GROUP BY doc_no, start, title, level, grp),
+chunks AS MATERIALIZED (SELECT doc_no, row_number() OVER (PARTITION BY doc_no ORDER BY start, place) - 1 AS chunk_index, place AS start_char, place + length(text) AS end_char, title AS section_title, level AS section_level, text FROM pieces)"""
 NODES = CHUNKS + """,
 named AS (SELECT *, last_value(section_title IGNORE NULLS) OVER (PARTITION BY doc_no ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS seen FROM chunks),
 flagged AS (SELECT *, coalesce(seen, 'Introduction') AS title, CASE WHEN seen IS NULL THEN 0 ELSE section_level END AS lvl FROM named),

@@ -7,27 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import structure as S
+from ..sources.stage import staged
 from ..sources.tables import filings
 from . import sql as Q
 
-#: The default size: longer sections are split, which the SQL of these queries does not state.
+#: The default size; SQL states the split of sections of one paragraph, as those of the filings are.
 SIZE = S.ChunkConfig()
 
 
 def typed(spark: SparkSession, d: str) -> DataFrame:
-    return S.typed(filings(spark, d))
+    """The filings with their types, made once for a query."""
+    return staged(S.typed(filings(spark, d)), "typed")
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
-    return S.chunks(typed(spark, d), SIZE)
+    """Chunks for one reading: from the filings without a stage between."""
+    return S.chunks(S.typed(filings(spark, d)), SIZE)
+
+
+def chunks_staged(spark: SparkSession, d: str) -> DataFrame:
+    return staged(chunk_table(spark, d), "chunks")
 
 
 def node_table(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes from chunks for one reading."""
     return S.tree_from_chunks(chunk_table(spark, d))
 
 
+def nodes_staged(spark: SparkSession, d: str) -> DataFrame:
+    return staged(node_table(spark, d), "nodes")
+
+
+def documents_and_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The typed filings and their nodes, both staged."""
+    f = typed(spark, d)
+    return f, staged(S.tree_from_chunks(S.chunks(f, SIZE)), "nodes")
+
+
 def detect_type(spark, d):
-    return typed(spark, d).select("doc_no", "doc_type")
+    return S.typed(filings(spark, d)).select("doc_no", "doc_type")
 
 
 def detect_filename(spark, d):
@@ -40,20 +58,20 @@ def detect_confidence(spark, d):
 
 
 def section_headers(spark, d):
-    return S.headers(typed(spark, d)).select("doc_no", "start", "title", "level")
+    return S.headers(S.typed(filings(spark, d)))
 
 
 def sections(spark, d):
-    return S.sections(typed(spark, d))
+    return S.sections(S.typed(filings(spark, d)))
 
 
 def chunks_fast(spark, d):
-    """All chunks of the default size: sections up to it as they are, longer ones split (its SQL lists only the former)."""
-    return S.chunks(typed(spark, d)).select("doc_no", F.col("start_char").alias("start"), F.col("end_char").alias("stop"), F.col("section_title").alias("title"), F.md5("text").alias("text_md5"))
+    """All chunks of the default size: sections up to it as they are, longer ones split."""
+    return chunk_table(spark, d).select("doc_no", F.col("start_char").alias("start"), F.col("end_char").alias("stop"), F.col("section_title").alias("title"), F.md5("text").alias("text_md5"))
 
 
 def chunks_full(spark, d):
-    return S.chunks(typed(spark, d)).withColumn("text_md5", F.md5("text")).drop("text")
+    return chunk_table(spark, d).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 def chunk_offsets(spark, d):
@@ -65,28 +83,33 @@ def tree_nodes(spark, d):
 
 
 def tree_stats(spark, d):
-    n = S.depths(node_table(spark, d))
-    parents = n.select("doc_no", F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(1))
-    j = n.join(parents, ["doc_no", "node_id"], "left")
+    """Nodes by depth and chunks of each filing; the chunks are made once."""
+    c = staged(chunk_table(spark, d).drop("text"), "chunks")
+    n = S.depths(staged(S.tree_from_chunks(c), "nodes"))
+    inner = n.filter("parent_id is not null").select("doc_no", F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(1))
+    j = n.join(inner, ["doc_no", "node_id"], "left")
     per = j.groupBy("doc_no").agg(F.count(F.lit(1)).alias("total_nodes"), F.max("depth").alias("max_depth"), F.count_if(F.col("inner").isNull()).alias("leaf_nodes"), *[F.count_if(F.col("depth") == k).alias(f"depth_{k}") for k in range(4)])
-    c = chunk_table(spark, d).groupBy("doc_no").agg(F.count(F.lit(1)).alias("total_chunks"))
-    return per.join(c, "doc_no")
+    return per.join(c.groupBy("doc_no").agg(F.count(F.lit(1)).alias("total_chunks")), "doc_no")
 
 
 def leaf_nodes(spark, d):
-    n = node_table(spark, d)
+    n = nodes_staged(spark, d)
     return n.join(n.select("doc_no", F.col("parent_id").alias("node_id")), ["doc_no", "node_id"], "left_anti").select("doc_no", "node_id", "title")
 
 
 def node_paths(spark, d):
-    return S.depths(node_table(spark, d)).select("doc_no", "node_id", "depth", F.array_join("path", "/").alias("path"))
+    return S.depths(nodes_staged(spark, d)).select("doc_no", "node_id", "depth", F.array_join("path", "/").alias("path"))
+
+
+def with_text(n: DataFrame, f: DataFrame) -> DataFrame:
+    """Nodes with their documents' text between their bounds."""
+    return n.join(f.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))"))
 
 
 def node_texts(spark, d):
     """(doc_no, node_id, ord, title, level, parent_id, text)."""
-    f = typed(spark, d)
-    n = S.tree_from_chunks(S.chunks(f, SIZE))
-    return n.join(f.select("doc_no", "text"), "doc_no").withColumn("text", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))"))
+    f, n = documents_and_nodes(spark, d)
+    return with_text(n, f)
 
 
 def node_text(spark, d):
@@ -100,7 +123,7 @@ def _joined(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def node_context(spark, d):
     """Each node's chunks and one more on both sides."""
-    c = chunk_table(spark, d)
+    c = chunks_staged(spark, d)
     n = S.tree_from_chunks(c).select("doc_no", "node_id", "start_chunk", "end_chunk")
     near = c.join(n, "doc_no").filter("chunk_index >= start_chunk - 1 and chunk_index < end_chunk + 1")
     return _joined(near, ["doc_no", "node_id"])
@@ -121,7 +144,7 @@ def tree_route(spark, d):
 
 def chunk_summary(spark, d):
     """Titled chunks with the begin of their text, runs of untitled ones as counts, and the total."""
-    c = chunk_table(spark, d)
+    c = staged(chunk_table(spark, d).withColumn("text", F.substring("text", 1, 200)), "chunks")
     w = W.partitionBy("doc_no").orderBy("chunk_index")
     flag = c.withColumn("run", F.sum(F.col("section_title").isNotNull().cast("int")).over(w))
     shown = F.concat(F.lit("<chunk_"), F.col("chunk_index"), F.lit("> ["), F.col("section_title"), F.lit("]: "), S.strip(F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit(" "))), F.lit("..."))
@@ -135,7 +158,7 @@ def chunk_summary(spark, d):
 
 def _flat(spark, d):
     """Numbered rows as a model would give them: roman parts, their items, one without its parent."""
-    c = chunk_table(spark, d)
+    c = staged(chunk_table(spark, d).drop("text"), "chunks")
     k = F.col("chunk_index")
     number = F.when(k % 6 == 0, F.element_at(F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")]), (k / 6).cast("int") % 12 + 1)).otherwise(F.concat((k / 6).cast("int") + 1, F.lit("."), k % 6))
     return c.select("doc_no", number.alias("structure"), F.concat(F.lit("Section "), k).alias("title"), (k + F.when(k % 5 == 4, 1000).otherwise(0)).alias("chunk_index"), (k + k % 3).alias("end_chunk_index")), c
@@ -148,7 +171,7 @@ def tree_from_flat(spark, d):
 _ROMAN = "['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII']"
 _FLAT = Q.CHUNKS + f""",
 flat AS (SELECT doc_no, CASE WHEN chunk_index % 6 = 0 THEN {_ROMAN}[(chunk_index // 6) % 12 + 1] ELSE (chunk_index // 6 + 1) || '.' || (chunk_index % 6) END AS structure,
-  'Section ' || chunk_index AS title, chunk_index + CASE WHEN chunk_index % 5 = 4 THEN 1000 ELSE 0 END AS ci, chunk_index + chunk_index % 3 AS ce FROM chunks WHERE chunk_index < 60),
+  'Section ' || chunk_index AS title, chunk_index + CASE WHEN chunk_index % 5 = 4 THEN 1000 ELSE 0 END AS ci, chunk_index + chunk_index % 3 AS ce FROM chunks),
 sized AS (SELECT f.*, n.n, greatest(0, least(ci, n.n - 1)) AS a FROM flat f JOIN (SELECT doc_no, count(*) AS n FROM chunks GROUP BY doc_no) n USING (doc_no)),
 keyed AS (SELECT *, greatest(a + 1, least(ce, n)) AS b, CASE WHEN structure NOT LIKE '%.%' THEN [CAST(list_position({_ROMAN}, structure) AS INTEGER)]
   ELSE list_transform(string_split(structure, '.'), lambda x: CAST(x AS INTEGER)) END AS key FROM sized),
@@ -163,7 +186,8 @@ ORACLES = {
         "SELECT doc_no, CASE WHEN best = 0 THEN 'generic' " + " ".join(f"WHEN s{i} = best THEN '{k}'" for i, k in enumerate({**Q.P.SEC_TYPES, **Q.P.OTHER_TYPES})) + " END AS doc_type, CASE WHEN best = 0 THEN 0.5::DOUBLE ELSE best END AS confidence FROM best"),
     "section_headers": Q.with_(Q.HEADERS, "SELECT doc_no, start, title, level FROM headers"),
     "sections": Q.with_(Q.SECTIONS, "SELECT doc_no, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, title, level FROM sections"),
-    "chunks_fast": Q.with_(Q.CHUNKS, "SELECT doc_no, start_char AS start, end_char AS stop, section_title AS title, md5(text) AS text_md5 FROM chunks WHERE length(text) <= 7000"),
+    "chunks_fast": Q.with_(Q.CHUNKS, "SELECT doc_no, start_char AS start, end_char AS stop, section_title AS title, md5(text) AS text_md5 FROM chunks"),
+    "chunks_full": Q.with_(Q.CHUNKS, "SELECT doc_no, chunk_index, start_char, end_char, section_title, section_level, md5(text) AS text_md5 FROM chunks"),
     "chunk_offsets": Q.with_(Q.CHUNKS, "SELECT doc_no, chunk_index, start_char, end_char FROM chunks"),
     "tree_nodes": Q.with_(Q.NODES, "SELECT * FROM nodes"),
     "tree_stats": Q.with_(Q.DEPTHS, """SELECT w.doc_no, count(*) AS total_nodes, max(depth) AS max_depth, count_if(i.node_id IS NULL) AS leaf_nodes, count_if(depth = 0) AS depth_0, count_if(depth = 1) AS depth_1, count_if(depth = 2) AS depth_2,
@@ -188,4 +212,4 @@ ORACLES = {
         FROM ordered o LEFT JOIN ordered p ON p.doc_no = o.doc_no AND o.structure LIKE '%.%' AND p.structure = regexp_replace(o.structure, '\\.[^.]*$', '') AND p.ord < o.ord
         JOIN chunks c ON c.doc_no = o.doc_no AND c.chunk_index = o.a JOIN chunks e ON e.doc_no = o.doc_no AND e.chunk_index = o.b - 1"""),
 }
-QUERIES = {k: globals()[k] for k in [*ORACLES, "chunks_full"]}
+QUERIES = {k: globals()[k] for k in ORACLES}
