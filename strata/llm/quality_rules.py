@@ -166,7 +166,7 @@ def filter_documents(docs: DataFrame, params: QualityParams = QualityParams()) -
     """The rows of ``docs`` that are kept, with their columns. The counts are written beside the rows, so that they
     are made once and the verdict reads them (else the optimizer would put them into the filter again and again)."""
     aside = {c: f"__col_{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "source", "text")}
-    counted = cut(with_counts(docs.withColumnsRenamed(aside)), "counted")
+    counted = cut(with_counts(docs.toDF(*[aside.get(c, c) for c in docs.columns])), "counted")
     judged = judge(counted, fences(counted, params), params)
     return judged.filter("kept").select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
