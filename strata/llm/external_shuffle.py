@@ -1,14 +1,15 @@
 """Operator 8: a two-pass external shuffle into shards.
 
-First pass: records are scattered by a seeded hash of id and text into buckets small enough for memory; their
-number follows from the bytes there are. Second pass: each bucket is put into a Fisher-Yates order by a
-generator seeded with the bucket's number, and its records get their places in one order of all records.
-The shards are equal runs of that order, so that their counts differ by one at most (law ``rows``).
-The order depends on seed and records alone, not on partitions, tasks or retries.
-
-Defined results: a null text has no bytes (size 8); a null id is hashed like any other; repeated rows fall into
-one bucket and keep their number; with no rows there are no shards; all columns are kept, new ones get the
-names asked for (``shard``, ``slot``) and a clash raises ValueError.
+First pass: records are scattered by a seeded hash of all their columns into buckets small enough for memory; their
+number follows from the bytes there are, and so does that of the partitions they go to. Second pass: each bucket is put
+into a Fisher-Yates order by a generator seeded with the bucket's number, and its records get their places in one order
+of all records. The shards are equal runs of that order, so that their counts differ by one at most (law ``rows``).
+The order depends on seed and records alone, not on partitions, tasks, retries or the order of rows.
+
+Defined results: a null text has no bytes (size 8); a null id is hashed like any other; rows that agree in all columns
+fall into one bucket and can't be told apart; rows that tie in id and text are told apart by their other columns; a very
+long text makes its bucket as much larger; with no rows there are no shards; all columns are kept, new ones get the names
+asked for (``shard``, ``slot``) and a clash, in any case, raises ValueError.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def fisher_yates(n: int, rng: np.random.Generator) -> list[int]:
 
 def external_shuffle(df: DataFrame, shards: int, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text", shard: str = "shard", slot: str = "slot") -> DataFrame:
     """The rows of ``df`` with the shard each goes to and its place in there."""
-    if {shard, slot} & set(df.columns):
+    if {shard.lower(), slot.lower()} & {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column {shard} or {slot} already")
     spark = df.sparkSession
     h, b = fresh(df, "hash"), fresh(df, "bucket")
@@ -46,7 +47,8 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 17, bucket_bytes: i
     if not n:
         return spark.createDataFrame([], schema)
     buckets = max(-(-size // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hashed = df.withColumn(h, F.xxhash64(F.lit(seed), key, text))
+    plain = lambda c, kind: F.to_json(F.array_sort(F.map_entries(c))) if kind.startswith("map<") else F.col(c)  # noqa: E731 (maps have no hash)
+    hashed = df.withColumn(h, F.xxhash64(F.lit(seed), *[plain(c, kind) for c, kind in df.dtypes]))
     dealt = hashed.withColumn(b, F.pmod(F.col(h), F.lit(buckets)))
     counts = np.zeros(buckets, np.int64)  # 8 bytes for each bucket of bucket_bytes
     for k, c in dealt.groupBy(b).count().toLocalIterator():
@@ -63,7 +65,7 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 17, bucket_bytes: i
         to = rank * shards // n
         return out.append_column(shard, pa.array(to.astype(np.int32))).append_column(slot, pa.array(rank - -(-to * n // shards)))
 
-    return dealt.groupBy(b).applyInArrow(second, schema)
+    return dealt.repartition(buckets, b).groupBy(b).applyInArrow(second, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:

@@ -8,6 +8,8 @@ kinds of lacing, cues. A packet has its track, timestamp (ns), byte range in the
 Defined results: a null text is stored like the empty one (576 bytes of 255); equal texts give equal files;
 ``packet_table`` gives no packets and an error text for a null or damaged file and never raises; repeated rows
 are handled one by one; other columns aren't read; an empty table gives no rows.
+Very long texts are held a few times over (payload, file, its parts), one at a time; copies of a text have equal values;
+ties don't arise, as packets keep the file's order.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 DOC_TYPE, SCALE, TRACK_ENTRY, TRACK_NUMBER, DEFAULT_DURATION = 0x4282, 0x2AD7B1, 0xAE, 0xD7, 0x23E383
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
 XIPH, FIXED, EBML_LACE = 1, 2, 3
 
@@ -128,7 +129,7 @@ def read_vint(data: bytes, at: int, end: int, keep: bool = False) -> tuple[int,
     return n, at + w
 
 
-def elements(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[int, int, int]]:
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
     """(id, start, end of the body) of the elements in a range."""
     while at < end:
         i, at = read_vint(data, at, end, keep=True)
@@ -199,6 +200,8 @@ def parse(data: bytes) -> Parsed:
         track, rel, flags, kind, frames = _block(data, a, b)
         each = lasts * out.scale // len(frames) if lasts else out.tracks.get(track, 0)
         began = (rel_to + rel) * out.scale
+        if track >= 1 << 31 or not 0 <= each < 1 << 53 or abs(began) + each * len(frames) >= 1 << 63:
+            raise ValueError("a track number or timestamp is out of range")
         for k, (s, n) in enumerate(frames):
             out.packets.append((track, began + k * each, s, n, bool(flags & 0x80) if key is None else key, kind))
 
@@ -242,12 +245,18 @@ def parse(data: bytes) -> Parsed:
     return out
 
 
+def astray(p: Parsed) -> int:
+    """How many cues name a place where no cluster begins, or a track that there isn't."""
+    begins = set(p.clusters)
+    return sum(at not in begins or track not in p.tracks for _, track, at in p.cues)
+
+
 def feature(p: Parsed) -> str:
-    """A line on a packet table: counts, range of timestamps, lacing, a checksum of the whole table."""
+    """A line on a packet table: counts, cues that lead astray, range of timestamps, lacing, a checksum of the whole table."""
     flat = zlib.crc32(b"".join(struct.pack("<qqqq?b", *x) for x in p.packets))
     laced = "".join(str(sum(x[5] == k for x in p.packets)) + "," for k in range(4))
     last = max((x[1] for x in p.packets), default=-1)
-    return f"type={p.doc_type};tracks={len(p.tracks)};packets={len(p.packets)};lacing={laced[:-1]};clusters={len(p.clusters)};cues={len(p.cues)};last_ns={last};bytes={sum(x[3] for x in p.packets)};table={flat:08x}"
+    return f"type={p.doc_type};tracks={len(p.tracks)};packets={len(p.packets)};lacing={laced[:-1]};clusters={len(p.clusters)};cues={len(p.cues)};astray={astray(p)};last_ns={last};bytes={sum(x[3] for x in p.packets)};table={flat:08x}"
 
 
 # ---- operators -----------------------------------------------------------------------------------------------
@@ -265,27 +274,27 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """One row for each packet: key, packet, track, timestamp_ns, start, size, key_frame, lacing, error.
-    A file that can't be read has one row with its error; one without packets has none."""
+    A file that can't be read, or whose numbers are out of range, has one row with its error; one without packets has none."""
     kind = dict(media.dtypes)[key]
     schema = f"`{key}` {kind}, packet bigint, track int, timestamp_ns bigint, start bigint, size bigint, key_frame boolean, lacing int, error string"
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
+    names = [key, "packet", "track", "timestamp_ns", "start", "size", "key_frame", "lacing", "error"]
+
+    def table(data: bytes | None) -> list[pa.Array]:
+        try:
+            if data is None:
+                raise ValueError("no file")
+            packets = parse(data).packets
+            cols = [range(len(packets)), *(zip(*packets, strict=True) if packets else [()] * 6), [None] * len(packets)]
+            return [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]
+        except (ValueError, IndexError, OverflowError) as e:  # pyarrow's own errors are ValueErrors
+            return [pa.array([None if k < 7 else str(e)], t) for k, t in enumerate(types)]
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                try:
-                    if data is None:
-                        raise ValueError("no file")
-                    for n, x in enumerate(parse(data).packets):
-                        at.append(i)
-                        rows.append((n, *x, None))
-                except (ValueError, IndexError) as e:
-                    at.append(i)
-                    rows.append((None,) * 7 + (str(e),))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
-            names = [key, "packet", "track", "timestamp_ns", "start", "size", "key_frame", "lacing", "error"]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+            for i in range(batch.num_rows):  # a file at a time
+                cols = table(batch.column(1)[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(cols[0]), pa.int64())), *cols], names=names)
 
     return media.select(key, column).mapInArrow(run, schema)
 

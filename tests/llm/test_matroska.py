@@ -53,3 +53,51 @@ def test_table(spark, docs, none):
     bad = spark.createDataFrame([(1, None), (2, b"\x00"), (3, b"")], "doc_id bigint, media binary")
     assert {(r.doc_id, r.error is None) for r in m.packet_table(bad).collect()} == {(1, False), (2, False)}
     assert m.media_features(none).count() == 0
+
+
+def test_numbers_out_of_range_are_errors(spark):
+    """Damaged files are rows with an error, whatever numbers they hold."""
+    block = m.element(m.SIMPLE_BLOCK, m.vint(1) + b"\0\0\x80abc")
+    late = m.element(m.SEGMENT, m.element(m.CLUSTER, m.element(m.TIMESTAMP, b"\xff" * 8) + block))
+    far = m.element(m.SEGMENT, m.element(m.CLUSTER, m._uint(m.TIMESTAMP, 1) + m.element(m.SIMPLE_BLOCK, m.vint(1 << 40) + b"\0\0\x80abc")))
+    slow = m.element(m.SEGMENT, m.element(m.TRACKS, m.element(m.TRACK_ENTRY, m._uint(m.TRACK_NUMBER, 1) + m.element(m.DEFAULT_DURATION, b"\xff" * 8))) + m.element(m.CLUSTER, m._uint(m.TIMESTAMP, 1) + block))
+    good = m.write(b"y" * 1200)
+    rng = random.Random(5)
+    noise = [bytes(b if rng.random() > 0.02 else rng.randrange(256) for b in good) for _ in range(200)] + [rng.randbytes(rng.randrange(60)) for _ in range(200)]
+    files = [late, far, slow, good, *noise]
+    got = m.packet_table(spark.createDataFrame(list(enumerate(files)), "doc_id bigint, media binary").repartition(3)).collect()
+    assert {r.doc_id for r in got if r.error is not None} >= {0, 1, 2} and [r.size for r in got if r.doc_id == 3] == [576, 576, 48]
+
+
+def test_cues_that_lead_astray():
+    data = m.write(b"z" * 576 * 600)
+    p = m.parse(data)
+    assert len(p.cues) == 3 and m.astray(p) == 0
+    p.cues[1] = (p.cues[1][0], 1, p.cues[1][2] + 1)
+    assert m.astray(p) == 1
+
+
+def test_features_against_plain_values(docs):
+    """Each column of the query from the payload and the stored bytes alone."""
+    import zlib
+
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    got = Counter(map(tuple, m.media_features(docs).select("doc_id", "tail_crc32", "media_bytes", "media_sha256", "feature").distinct().collect()))
+    want = Counter()
+    for key, text in texts:
+        payload = (text or "").encode()
+        payload += b"\xff" * (-len(payload) % 576 or (0 if payload else 576))
+        data, n = m.write(payload), len(payload) // 576
+        rest = [min(8, n - j) for k in range(0, n, 256) for j in range(k, min(k + 256, n), 8)]
+        laced = [0, 0, 0, 0]
+        for j, c in enumerate(rest):
+            laced[0 if c == 1 else {0: m.FIXED, 1: m.EBML_LACE, 2: m.XIPH}[j % 3]] += c
+        table, at = b"", 0
+        for k in range(n):
+            at = data.index(payload[576 * k:576 * k + 576], at)
+            c, j = rest[k // 8], k // 8
+            table += __import__("struct").pack("<qqqq?b", 1, 72_000_000 * k, at, 576, True, 0 if c == 1 else {0: m.FIXED, 1: m.EBML_LACE, 2: m.XIPH}[j % 3])
+            at += 576
+        line = f"type=matroska;tracks=1;packets={n};lacing={','.join(map(str, laced))};clusters={-(-n // 256)};cues={-(-n // 256)};astray=0;last_ns={72_000_000 * (n - 1)};bytes={len(payload)};table={zlib.crc32(table):08x}"
+        want[(key, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), line)] += 1
+    assert got == want

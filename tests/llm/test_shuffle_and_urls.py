@@ -24,6 +24,30 @@ def test_shuffle_laws(docs, none, tmp_path):
         e.external_shuffle(out, 5)
 
 
+def test_order_of_ties_and_clashes(spark):
+    """Rows that agree in id and text but differ elsewhere have the same places whatever order they come in."""
+    rows = [(i % 3, "same", k, {"a": i}) for k, i in enumerate(range(60))] + [(None, None, 1, None)] * 2
+    schema = "doc_id bigint, text string, other int, tags map<string,int>"
+    places = lambda rs, k: Counter((r.doc_id, r.text, r.other, r.shard, r.slot) for r in e.external_shuffle(spark.createDataFrame(rs, schema).repartition(k), 4, bucket_bytes=500).collect())
+    assert places(rows, 1) == places(rows[::-1], 5) == places(rows[30:] + rows[:30], 3)
+    for name in ("Shard", "SLOT"):
+        with pytest.raises(ValueError):
+            e.external_shuffle(spark.createDataFrame([(1, "x", 2)], f"doc_id bigint, text string, {name} int"), 4)
+
+
+def test_query_against_brute_force(docs, tmp_path):
+    """The query's columns from the rows alone, and its law: counts at most one apart, slots gapless."""
+    import zlib
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = e.query(docs.sparkSession, str(tmp_path)).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()), "rows", None) for r in docs.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got) == want
+    n = Counter(r.shard for r in got)
+    assert set(n) == set(range(24)) and max(n.values()) - min(n.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(n[k])) for k in n)
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(e.fisher_yates(4, np.random.default_rng(k))) for k in range(4800))
     assert len(seen) == 24 and max(seen.values()) < 290 and min(seen.values()) > 125
