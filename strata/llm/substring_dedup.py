@@ -3,8 +3,9 @@
 Every window of 20 words has an anchor, the least hash among its runs of eight words (the first of equals), so equal
 windows have equal anchors; windows side by side that share one anchor form a region. Regions whose anchor stands
 in one place only (copies of a text count once) can't repeat. The others are dealt to shards by anchor, so that all
-occurrences of a window meet in one shard, whose size in words is bounded. Equal regions go there once, with their
-first place. A shard's regions, in the order of their places, are the text of its FM-index; backward search over its
+occurrences of a window meet in one shard. Regions of an anchor that stands in more than ``HOT_REGIONS`` places are taken
+apart into single windows, dealt by the windows' words, so that equal windows still meet and a shard's size in words stays
+bounded. Equal regions go there once, with their first place. A shard's regions, in the order of their places, are the text of its FM-index; backward search over its
 wavelet matrix, streamed over all regions side by side, finds for each region the longest stretches that also stand
 earlier, and so the windows that do. Windows are compared word by word, not by hashes.
 
@@ -36,6 +37,8 @@ from .texts import hold
 WINDOW, RUN = 20, 8
 #: Words of a shard, about.
 SHARD_WORDS = 1_200_000
+#: Places of an anchor beyond which its regions are dealt window by window.
+HOT_REGIONS = 10_000
 #: Lists of up to so many texts are broadcast, to shuffle fewer texts; beyond, all are shuffled.
 BROADCAST_ROWS = 1_000_000
 assert 2 * WINDOW - RUN <= CONTEXT  # the longest region
@@ -113,7 +116,7 @@ def _regions(docs: DataFrame) -> DataFrame:
 
 
 def _told(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(doc_id, tk, start, anchor, words) of the regions listed for each text, from its first document."""
+    """(doc_id, tk, start, anchor, words) of the regions listed for each text, from its first document; no anchor: a single window."""
     source = _with_key(docs)
     if reps.count() <= BROADCAST_ROWS:  # fewer texts to shuffle
         source = source.join(F.broadcast(reps.select("tk")), "tk", "left_semi")
@@ -166,15 +169,18 @@ def _search(table: pa.Table) -> pa.Table:
     return table.select(["tk", "start"]).take(pa.array(on)).append_column("kept", pa.array(kept[on]))
 
 
-def findings(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def findings(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int | None = None) -> DataFrame:
     """(tk, doc_id, regions, firsts) of each text that has copies or repeated anchors: its smallest id, its regions,
     array of (place, anchor), and of those whose first place it has, array of (start, kept bits)."""
     found = cut(_regions(docs), "regions")
     place = F.xxhash64("tk", "place")
-    anchors = found.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y")
-    anchors = cut(anchors.select(F.col("anchor").alias("a")), "anchors")
+    anchors = found.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y")
+    anchors = cut(anchors.select(F.col("anchor").alias("a"), (F.col("c") > (HOT_REGIONS if hot is None else hot)).alias("hot")), "anchors")
     free_shuffles()
-    listed = found.join(anchors, F.col("anchor") == F.col("a")).groupBy("tk").agg(F.collect_set(F.struct("place", "anchor")).alias("regions"))  # a text's own regions
+    several = found.join(anchors, F.col("anchor") == F.col("a"))
+    single = F.transform(F.sequence(F.lit(0).cast("long"), F.col("place") % 32 - 1), lambda i: (F.expr("place div 32") + i) * 32 + 1)
+    several = several.select("tk", F.explode(F.when(F.col("hot"), single).otherwise(F.array("place"))).alias("place"), F.when(~F.col("hot"), F.col("anchor")).alias("anchor"))
+    listed = several.groupBy("tk").agg(F.collect_set(F.struct("place", "anchor")).alias("regions"))  # a text's own regions
     texts = docs.groupBy(_key().alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     table = texts.join(listed, F.col("k") == F.col("tk"), "left").filter("copies > 1 or regions is not null").select(F.col("k").alias("tk"), "doc_id", "regions")
     table = cut(table, "reps")
@@ -184,7 +190,7 @@ def findings(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     words = reps.agg(F.sum(F.aggregate("regions", F.lit(0).cast("long"), lambda s, r: s + r["place"] % 32 + F.lit(WINDOW)))).first()[0] or 0
     distinct = _told(docs, reps).groupBy("words").agg(F.min(F.struct("doc_id", "start", "tk", "anchor")).alias("m"))
     shards = max(-(-words // shard_words), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = distinct.select("m.doc_id", "m.tk", "m.start", "words", F.pmod("m.anchor", F.lit(shards)).alias("shard"))
+    dealt = distinct.select("m.doc_id", "m.tk", "m.start", "words", F.pmod(F.coalesce("m.anchor", F.xxhash64("words")), F.lit(shards)).alias("shard"))
     firsts = dealt.groupBy("shard").applyInArrow(_search, "tk binary, start bigint, kept bigint")
     firsts = firsts.groupBy("tk").agg(F.collect_list(F.struct("start", "kept")).alias("firsts")).withColumnRenamed("tk", "k")
     out = cut(table.join(firsts, F.col("tk") == F.col("k"), "left").drop("k"), "findings")
@@ -217,15 +223,20 @@ def with_removed(docs: DataFrame, keep: tuple[str, ...], columns: list[tuple[str
     listed = findings(docs).withColumnsRenamed({"tk": key, "doc_id": did, "regions": r, "firsts": f})
     needed = list(dict.fromkeys([*keep, "text", "doc_id"]))
     source = docs.select(*needed).withColumn(here, _key())
-    joined = source.join(listed, F.col(here) == F.col(key), "left")
-    if listed.count() <= BROADCAST_ROWS:  # only texts that are listed are shuffled
-        ids = F.broadcast(listed.select(F.col(key).alias(here)))
-        alone = source.join(ids, here, "left_anti")
-        nothing = [F.lit(None).cast(dict(listed.dtypes)[c]).alias(c) for c in listed.columns]
-        joined = source.join(ids, here, "left_semi").join(listed, F.col(here) == F.col(key), "left").select(*needed, here, *listed.columns).union(alone.select(*needed, here, *nothing))
-    state = F.when(F.col(key).isNull(), F.lit(0)).when(F.col("doc_id").eqNullSafe(F.col(did)), F.lit(1)).otherwise(F.lit(2))  # not listed, first of its text, later copy
+    first = F.col("doc_id").eqNullSafe(F.col(did))
+    if listed.count() <= BROADCAST_ROWS:  # only texts that have regions of their own are shuffled, and of copies the first alone
+        ids = F.broadcast(listed.select(key, did, F.col(r).isNotNull().alias(f)))
+        told = source.join(ids, F.col(here) == F.col(key), "left")
+        state = F.when(F.col(key).isNull(), F.lit(0)).when(first, F.lit(1)).otherwise(F.lit(2))
+        told = told.select(*needed, here, state.alias(key), (first & F.coalesce(F.col(f), F.lit(False))).alias(f))
+        nothing = [F.lit(None).cast(dict(listed.dtypes)[c]).alias(c) for c in (r, f)]
+        own = told.filter(F.col(f)).drop(f).withColumnRenamed(key, did + "_").join(listed.drop(did), F.col(here) == F.col(key)).select(*needed, F.col(did + "_").alias(here), r, f)
+        joined = own.union(told.filter(~F.coalesce(F.col(f), F.lit(False))).drop(f).select(*needed, F.col(key).alias(here), *nothing))
+    else:
+        state = F.when(F.col(key).isNull(), F.lit(0)).when(first, F.lit(1)).otherwise(F.lit(2))  # not listed, first of its text, later copy
+        joined = source.join(listed, F.col(here) == F.col(key), "left").select(*needed, state.alias(here), r, f)
     extra = ["text"] * ("text" not in keep)
-    source = joined.select(*keep, *extra, r, f, state.alias(here))
+    source = joined.select(*keep, *extra, r, f, here)
     place = source.columns.index("text")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {k}" for n, k, _ in columns)])

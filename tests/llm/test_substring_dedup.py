@@ -71,3 +71,10 @@ def test_small_shards_give_the_same(docs, monkeypatch):
     one = sorted(map(str, s.removal_digests(docs).collect()))
     monkeypatch.setattr(s, "BROADCAST_ROWS", -1)  # the way beyond the bound
     assert sorted(map(str, s.removal_digests(docs).collect())) == one
+
+
+def test_hot_anchors_window_by_window_give_the_same(docs, monkeypatch):
+    one = sorted(map(str, s.removal_digests(docs).collect()))
+    for hot in (0, 3):
+        monkeypatch.setattr(s, "HOT_REGIONS", hot)
+        assert sorted(map(str, s.removal_digests(docs).collect())) == one
