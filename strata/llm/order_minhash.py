@@ -46,6 +46,8 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 #: Lists of up to so many texts are broadcast (some 50 bytes each), to shuffle fewer texts; beyond, all are shuffled.
 BROADCAST_ROWS = 500_000
+#: Lists of up to so many 64-bit keys are broadcast, so that rows without one of them aren't shuffled; beyond, all are.
+BROADCAST_KEYS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -227,6 +229,12 @@ def sketches(docs: DataFrame, p: NearDupParams) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, node binary, n bigint, sketches array<bigint>")
 
 
+def _listed(keys: DataFrame, name: str) -> DataFrame:
+    """Written rows of a 64-bit key, marked for a broadcast if they are few enough."""
+    keys = cut(keys, name)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _salted(df: DataFrame, key: str, spread: str, few: DataFrame, few_key: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """``df`` and ``few`` (few_key, c: its number of rows in df; ...) with a column ``salt``: 0, but for keys with more than
     a thousandth of ``rows``, whose rows are spread by the hash of ``spread`` and whose row in ``few`` is repeated."""
@@ -245,8 +253,9 @@ def verified(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b, similarity) of pairs of nodes; texts: (node, text)."""
     pairs = cut(pairs.select("a", "b"), "pairs")
     left, leads = _salted(pairs, "a", "b", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a", pairs.count())
-    ta = texts.withColumnsRenamed({"node": "a", "text": "ta"}).join(leads.select("a", "salt"), "a")
-    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(ta, ["a", "salt"]).select("a", "b", "ta", "tb")
+    # no bound is known for the texts: these joins shuffle, whatever their sizes look like
+    ta = texts.withColumnsRenamed({"node": "a", "text": "ta"}).join(leads.select("a", "salt").hint("merge"), "a")
+    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}).hint("merge"), "b").join(ta.hint("merge"), ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, last = Words(), (None, None)
@@ -278,8 +287,10 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
     rows = cut(sketches(docs, p), "sketches")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
     # the buckets that several nodes share, with their first members
-    every = nodes.select("node", "n", F.posexplode("sketches").alias("k", "h")).select(F.xxhash64("k", "h").alias("bucket"), "node", "n")
-    lead = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("m")).filter("c > 1").select("bucket", "c", F.col("m.node").alias("a"), F.col("m.n").alias("na")), "leaders")
+    every = nodes.select(F.explode("sketches").alias("bucket"), "node", "n")  # a sketch's hash is its own bucket
+    shared = _listed(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"), "shared")
+    every = cut(every.join(shared, "bucket", "left_semi"), "members")
+    lead = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("m")).select("bucket", "c", F.col("m.node").alias("a"), F.col("m.n").alias("na")), "leaders")
     dealt, few = _salted(every, "bucket", "node", lead, "bucket", nodes.count())
     active = cut(dealt.join(few, ["bucket", "salt"]).select("bucket", "node", "n", "a", "na"), "buckets")
     small = nodes.filter((F.col("n") > 0) & (F.col("n") < p.short / p.similarity)).select("node")
@@ -312,7 +323,7 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
         first = _first_of(members.filter("leads"), leaders)
         lead = first.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("comp").alias("cx"))
         # of two that meet in their first common word no more than the rest of either can agree
-        both = members.join(lead, "bucket").filter(near.format(p.similarity, p.similarity / (1 + p.similarity)))
+        both = members.join(lead.hint("merge"), "bucket").filter(near.format(p.similarity, p.similarity / (1 + p.similarity)))
         pairs = both.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -349,10 +360,11 @@ def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), b.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(ns))], names=["bucket", "node", "n"])
 
     every = cut(texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint"), "words")
-    often = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
-    order = F.row_number().over(W.partitionBy("node").orderBy("often", "bucket"))  # a text's own words
+    often = _listed(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    order = W.partitionBy("node").orderBy("often", "bucket")  # a text's own words; those that stand once come before
     least = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1
-    kept = every.join(often, "bucket").withColumn("r", order).filter(F.col("r") <= least(p.similarity)).filter("often > 1")
+    alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("node"))
+    kept = every.join(often, "bucket").withColumn("r", alone + F.row_number().over(order)).filter(F.col("r") <= least(p.similarity))
     return kept.select("bucket", "node", "n", F.col("r").cast("int").alias("r"), (F.col("r") <= least(2 * p.similarity / (1 + p.similarity))).alias("leads"))
 
 
