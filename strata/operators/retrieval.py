@@ -147,3 +147,33 @@ def structure_view(nodes: DataFrame) -> DataFrame:
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("["), F.col("node_id"), F.lit("] "), F.col("title"), F.when(F.length(F.coalesce("summary", F.lit(""))) > 0, F.concat(F.lit(" - "), F.substring("summary", 1, 60), F.lit("..."))).otherwise(F.lit("")))
     g = nodes.select("doc_no", "ord", line.alias("line")).groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
     return g.select("doc_no", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("view"))
+
+
+NOT_FOUND = "No evidence was found for this question."
+
+
+def evidence_summary(found: DataFrame, most: int = 15, each: int = 2, chars: int = 300) -> DataFrame:
+    """(query_id, n, summary): of each topic's best evidence a line with its title and the begin of its first excerpts;
+    found: with title and excerpts."""
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_no", "node_id")
+    line = F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.array_join(F.transform(F.slice("excerpts", 1, each), lambda x: F.substring(x, 1, chars)), " | "))
+    best = found.select("query_id", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(W.partitionBy("query_id")).alias("n"), line.alias("line")).filter(F.col("r") <= most)
+    g = best.groupBy("query_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("r", "line"))).alias("l"))
+    return g.select("query_id", "n", F.concat(F.format_string("Found %d relevant sections\n", "n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("summary"))
+
+
+def answer(queries: DataFrame, nodes: DataFrame, node_texts: DataFrame, max_iterations: int = 5, threshold: float = 0.15, scorer: Scorer | None = None) -> DataFrame:
+    """(query_id, answer, confidence, visited, trace) of every question: the deterministic policy reads the best unread node
+    of the corpus at each step, until none is relevant or the steps are used up. Confidence is the best score; a question
+    without evidence has the fixed answer and confidence 0."""
+    s = (scorer or LexicalScorer()).score(queries, nodes).filter(F.col("score") >= threshold)
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_no", "ord")
+    read = s.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= max_iterations)
+    t = node_texts.select(F.col("doc_no").alias("d"), F.col("node_id").alias("n"), "title", F.substring("text", 1, 500).alias("excerpt"))
+    told = read.join(t, (F.col("doc_no") == F.col("d")) & (F.col("node_id") == F.col("n"))).groupBy("query_id").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("step", "doc_no", "node_id", "title", "excerpt"))).alias("steps"))
+    all_ = queries.select("query_id").join(told, "query_id", "left")
+    each = lambda f, sep: F.array_join(F.transform("steps", f), sep)
+    return all_.select(
+        "query_id", F.coalesce(each(lambda x: F.concat(F.lit("["), x["title"], F.lit("] "), x["excerpt"]), "\n\n"), F.lit(NOT_FOUND)).alias("answer"), F.coalesce("best", F.lit(0.0)).alias("confidence"),
+        F.coalesce(each(lambda x: F.concat(x["doc_no"].cast("string"), F.lit(":"), x["node_id"]), ","), F.lit("")).alias("visited"),
+        F.coalesce(each(lambda x: F.concat(F.lit("step "), x["step"].cast("string"), F.lit(": read "), x["title"]), "; "), F.lit("no relevant section")).alias("trace"))

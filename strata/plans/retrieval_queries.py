@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import indexing as X
 from ..operators import references as R
 from ..operators import retrieval as T
 from ..operators import structure as S
 from ..sources import cache as C
 from ..sources import sinks as K
 from ..sources.stage import shared_dir, staged
-from ..sources.tables import load
+from ..sources.tables import filings, load
 from ..streaming import incremental as I
 from . import reference_queries as RQ
 from . import sql as Q
@@ -187,6 +188,72 @@ def incremental_index(s, d):
     return I.drain(s, f"{d}/document[s].parquet", schema, folder, SQ.SIZE).groupBy("title", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("end_char").alias("chars"))
 
 
+def search_full(s, d):
+    """Ranked nodes, then the relevant ones that they refer to, unranked."""
+    f, n = SQ.documents_and_nodes(s, d)
+    texts = SQ.with_text(n, f)
+    slim = staged(T.summaries(texts).select("doc_no", "node_id", "ord", "title", "summary"), "summaries")
+    refs = staged(R.detect(texts), "references")
+    found = staged(T.search(_topics(s, d), slim, SEARCH), "found")
+    more = T.expand(found, _topics(s, d), slim, R.resolve(refs, n), SEARCH)
+    return found.unionByName(more.withColumn("rank", F.lit(None).cast("int"))).select("query_id", "doc_no", "node_id", "score", "rank")
+
+
+def evidence_summary(s, d):
+    n = _nodes(s, d)
+    x = T.excerpts(T.evidence(_topics(s, d), n.select("doc_no", "node_id", "ord", "title", "summary"), EVIDENCE), _topics(s, d), n, EVIDENCE)
+    return T.evidence_summary(x.join(n.select("doc_no", "node_id", "title"), ["doc_no", "node_id"])).withColumn("summary", F.md5("summary"))
+
+
+def qa_answer(s, d):
+    n = _nodes(s, d)
+    return T.answer(_topics(s, d), n.select("doc_no", "node_id", "ord", "title", "summary"), n, threshold=0.3).withColumn("answer", F.md5("answer"))
+
+
+def category_comparison(s, d):
+    """Of each category the number of matches, their mean score and the share of nodes that they cover."""
+    n = _slim(s, d)
+    best = T.evidence(_topics(s, d), n, EVIDENCE).groupBy((F.col("query_id") % 4).alias("category"), "doc_no", "node_id").agg(F.max("score").alias("score"))
+    total = n.agg(F.count(F.lit(1)).alias("total"))  # a row
+    g = best.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean")).join(total, F.lit(True))
+    return g.select("category", "n", F.round("mean", 6).alias("mean"), F.round(F.col("n") / F.col("total"), 6).alias("coverage"))
+
+
+def sweep_means(s, d):
+    grid = F.explode(F.array(*[F.lit(x) for x in (0.15, 0.2, 0.25, 0.3, 0.4)])).alias("threshold")
+    return _evidence(s, d).select("score", grid).filter("score >= threshold").groupBy("threshold").agg(F.round(F.avg("score"), 6).alias("mean"))
+
+
+def index_nodes(s, d):
+    """Nodes of a whole index by route, with summaries from the leaves up: the filings, and each conversation as a document."""
+    n = X.build_index(_mixed(s, d)).nodes
+    return n.select("doc_no", "node_id", "parent_id", "title", "level", "start_char", "end_char", F.md5(F.coalesce("summary", F.lit(""))).alias("summary_md5"))
+
+
+def index_stats(s, d):
+    return X.stats(X.build_index(_mixed(s, d)))
+
+
+def _mixed(s, d):
+    """Filings beside conversations, numbered from a million on: these have no sections."""
+    c = load(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))
+    line = lambda x: F.concat(F.initcap(x["role"]), F.lit(": "), F.coalesce(x["text"], F.lit("")))
+    talk = c.select((F.col("conv_id") + 1_000_000).cast("bigint").alias("doc_no"), F.lit("talk.txt").alias("doc_name"), F.array_join(F.transform("l", line), "\n").alias("text"))
+    return filings(s, d).select(F.col("doc_no").cast("bigint").alias("doc_no"), "doc_name", "text").unionByName(talk)
+
+
+def find_node(s, d):
+    return X.find_node(SQ.node_table(s, d), "0003").select("doc_no", "title", "start_char")
+
+
+def text_range(s, d):
+    return X.char_range(filings(s, d), 100, 400).select("doc_no", F.md5("text").alias("text_md5"))
+
+
+def structure_summary(s, d):
+    return X.structure_summary(SQ.nodes_staged(s, d)).withColumn("summary", F.md5("summary"))
+
+
 # ---- SQL ------------------------------------------------------------------------------------------------------
 
 _PARTS = "string_split(regexp_replace({}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
@@ -247,4 +314,38 @@ ORACLES = {
     "stream_accumulate": "SELECT conv_id, turn, count(*) OVER w AS token_count, md5(string_agg(text, '') OVER w) AS content_md5 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)",
     "incremental_index": Q.with_(_STREAM, "SELECT title, level, count(*) AS n, CAST(sum(end_char) AS BIGINT) AS chars FROM nodes GROUP BY title, level"),
 }
-QUERIES = {k: globals()[k] for k in [*ORACLES, "tree_json", "markdown_report"]}
+_EXPANDED = ORACLES["search_expand"]
+_MIXED = "filings AS (SELECT * FROM filings0 UNION ALL SELECT conv_id + 1000000, 'talk.txt', string_agg(upper(role[1]) || lower(role[2:]) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id)"
+_INDEX = Q.DEPTHS.replace(", typed AS (", ", " + _MIXED + ", typed AS (", 1).replace("filings AS (SELECT doc_no, CASE", "filings0 AS (SELECT doc_no, CASE", 1).replace("nodes AS (SELECT p.doc_no", "nodes0 AS (SELECT p.doc_no", 1)
+_ROUTED = """,
+way AS (SELECT doc_no, count(DISTINCT section_title) >= 3 AND avg(CASE WHEN section_title IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) > 0.2 AS tree FROM chunks GROUP BY doc_no),
+fb0 AS (SELECT c.*, last_value(section_title IGNORE NULLS) OVER (PARTITION BY doc_no ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS seen, count(section_title) OVER (PARTITION BY doc_no) AS titles FROM chunks c JOIN way USING (doc_no) WHERE NOT tree),
+fb1 AS (SELECT *, CASE WHEN titles = 0 THEN 'Document' ELSE seen END AS t FROM fb0 WHERE titles = 0 OR seen IS NOT NULL),
+fb2 AS (SELECT *, CASE WHEN t IS DISTINCT FROM lag(t) OVER (PARTITION BY doc_no ORDER BY chunk_index) THEN 1 ELSE 0 END AS new FROM fb1),
+fb3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_no ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS island FROM fb2),
+nodes AS MATERIALIZED (SELECT n.* FROM nodes0 n JOIN way USING (doc_no) WHERE tree UNION ALL BY NAME
+  SELECT doc_no, printf('%04d', CAST(island - 1 AS INTEGER)) AS node_id, CAST(island - 1 AS INTEGER) AS ord, NULL AS parent_id, any_value(t) AS title, 0 AS level, arg_min(start_char, chunk_index) AS start_char, arg_max(end_char, chunk_index) AS end_char, min(chunk_index) AS start_chunk, max(chunk_index) + 1 AS end_chunk FROM fb3 GROUP BY doc_no, island)"""
+_INDEX = _INDEX.replace(",\nwalk AS", _ROUTED + ",\nwalk AS", 1) + f""",
+owned AS (SELECT n.*, w.depth, c.doc_no IS NOT NULL AS inner_, CASE WHEN length(x) > 100 THEN substr(array_to_string(list_slice({_PARTS.format('x')}, 1, 2), ' '), 1, 500) END AS own
+  FROM (SELECT n.*, substr(t.text, n.start_char + 1, n.end_char - n.start_char) AS x FROM nodes n JOIN typed t USING (doc_no)) n JOIN walk w USING (doc_no, node_id) LEFT JOIN (SELECT DISTINCT doc_no, parent_id FROM nodes) c ON c.doc_no = n.doc_no AND c.parent_id = n.node_id),
+up4 AS (SELECT * REPLACE (CASE WHEN inner_ THEN NULL ELSE own END AS own) FROM owned)""" + "".join(f""",
+up{k} AS (SELECT u.* REPLACE (CASE WHEN u.inner_ AND u.depth = {k} THEN s.t ELSE u.own END AS own) FROM up{k + 1} u LEFT JOIN
+  (SELECT doc_no, parent_id, substr(string_agg('- ' || title || ': ' || own, chr(10) ORDER BY ord), 1, 500) AS t FROM up{k + 1} WHERE depth = {k + 1} AND own <> '' GROUP BY ALL) s ON s.doc_no = u.doc_no AND s.parent_id = u.node_id)""" for k in (3, 2, 1, 0))
+ORACLES |= {
+    "search_full": _EXPANDED.replace("SELECT s.query_id, s.doc_no, s.node_id, s.ord, s.score FROM evidence s", f"SELECT query_id, doc_no, node_id, score, rank FROM ({_TOPK}) WHERE rank <= 20 UNION ALL SELECT s.query_id, s.doc_no, s.node_id, s.score, NULL FROM evidence s"),
+    "evidence_summary": Q.with_(_EXC, """SELECT query_id, max(n) AS n, md5('Found ' || max(n) || ' relevant sections' || chr(10) || string_agg('- ' || title || ': ' || array_to_string(list_transform(x[1:2], lambda s: substr(s, 1, 300)), ' | '), chr(10) ORDER BY r)) AS summary
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_no, node_id) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM exc) WHERE r <= 15 GROUP BY query_id"""),
+    "qa_answer": Q.with_(SCORES, f"""SELECT q.query_id, md5(coalesce(answer, '{T.NOT_FOUND}')) AS answer, coalesce(best, 0.0::DOUBLE) AS confidence, coalesce(visited, '') AS visited, coalesce(trace, 'no relevant section') AS trace FROM qs q LEFT JOIN
+        (SELECT query_id, max(score) AS best, string_agg('[' || t.title || '] ' || substr(t.text, 1, 500), chr(10) || chr(10) ORDER BY step) AS answer, string_agg(s.doc_no || ':' || s.node_id, ',' ORDER BY step) AS visited, string_agg('step ' || step || ': read ' || t.title, '; ' ORDER BY step) AS trace
+         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_no, ord) AS step FROM scored WHERE score >= 0.3) s JOIN summed t USING (doc_no, node_id) WHERE step <= 5 GROUP BY query_id) a USING (query_id)"""),
+    "category_comparison": Q.with_(SCORES, "SELECT category, count(*) AS n, round(avg(score), 6) AS mean, round(count(*) / any_value(total), 6) AS coverage FROM cats, (SELECT count(*) AS total FROM nodes) GROUP BY category"),
+    "sweep_means": Q.with_(SCORES, "SELECT threshold, round(avg(score), 6) AS mean FROM evidence, (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.4]::DOUBLE[]) AS threshold) WHERE score >= threshold GROUP BY threshold"),
+    "index_nodes": Q.with_(_INDEX, "SELECT doc_no, node_id, parent_id, title, level, start_char, end_char, md5(coalesce(own, '')) AS summary_md5 FROM up0"),
+    "find_node": Q.with_(Q.NODES, "SELECT doc_no, title, start_char FROM nodes WHERE node_id = '0003'"),
+    "text_range": Q.with_(Q.filings_sql(), "SELECT doc_no, md5(substr(text, 101, 300)) AS text_md5 FROM filings"),
+    "structure_summary": Q.with_(Q.DEPTHS, """SELECT doc_no, md5(string_agg(repeat('  ', depth) || CASE WHEN r <= 5 THEN '- ' || title ELSE '... and ' || (n - 5) || ' more' END, chr(10) ORDER BY ord)) AS summary FROM
+        (SELECT *, list_filter(path[1:depth], lambda x: list_contains(gone, x)) AS above FROM (SELECT z.*, list(node_id) FILTER (r > 5) OVER (PARTITION BY doc_no) AS gone FROM
+          (SELECT n.*, w.depth, w.path, CASE WHEN n.parent_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY n.doc_no, n.parent_id ORDER BY n.ord) END AS r, count(*) OVER (PARTITION BY n.doc_no, n.parent_id) AS n FROM nodes n JOIN walk w USING (doc_no, node_id) WHERE w.depth <= 2) z))
+        WHERE r <= 6 AND (gone IS NULL OR len(above) = 0) GROUP BY doc_no"""),
+}
+QUERIES = {k: globals()[k] for k in [*ORACLES, "index_stats", "tree_json", "markdown_report"]}

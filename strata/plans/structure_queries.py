@@ -30,8 +30,8 @@ def chunks_staged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_table(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes from chunks for one reading."""
-    return S.tree_from_chunks(chunk_table(spark, d))
+    """Nodes; the chunks' places are staged, as a tree reads them twice."""
+    return S.tree_from_chunks(staged(chunk_table(spark, d).drop("text"), "chunks"))
 
 
 def nodes_staged(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def nodes_staged(spark: SparkSession, d: str) -> DataFrame:
 def documents_and_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The typed filings and their nodes, both staged."""
     f = typed(spark, d)
-    return f, staged(S.tree_from_chunks(S.chunks(f, SIZE)), "nodes")
+    return f, staged(S.tree_from_chunks(staged(S.chunks(f, SIZE).drop("text"), "chunks")), "nodes")
 
 
 def detect_type(spark, d):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .stage import staged
+
 SCHEMA = "key string, value string, created_at timestamp, expires_at timestamp, hit_count bigint"
 
 
@@ -53,17 +55,18 @@ class ParquetCache:
         expires = (now + F.make_dt_interval(secs=F.lit(ttl_seconds))) if ttl_seconds else F.lit(None).cast("timestamp")
         new = rows.dropDuplicates(["key"]).select("key", "value", now.alias("created_at"), expires.alias("expires_at"), F.lit(0).cast("bigint").alias("hit_count"))
         kept = self.entries().join(new.select("key"), "key", "left_anti")
-        if self.max_size:
-            room = max(0, self.max_size - new.count())
-            kept = evicted(kept, room)
-        self._write(kept.unionByName(new))
+        both = kept.unionByName(new)
+        if self.max_size:  # the new ones are the last to go, but more of them than there is room for don't stay either
+            fresh = both.withColumn("new", F.col("created_at") == now).orderBy(F.col("new").desc(), F.col("hit_count").desc(), F.col("created_at").desc(), F.col("key").desc())
+            both = fresh.limit(self.max_size).drop("new")
+        self._write(both)
 
     def get_many(self, keys: DataFrame) -> DataFrame:
         """keys (key) with hit and value; the hits are counted."""
         out = lookup(keys, self.entries(), F.current_timestamp())
         found = out.filter("hit").groupBy("key").agg(F.count(F.lit(1)).alias("more"))
         counted = self.entries().join(found, "key", "left").withColumn("hit_count", F.col("hit_count") + F.coalesce("more", F.lit(0))).drop("more")
-        result = self.spark.createDataFrame(out.collect(), out.schema)  # the answer to a caller's own keys
+        result = staged(out, "found")  # before the entries' version changes
         self._write(counted)
         return result
 

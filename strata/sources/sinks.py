@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .stage import staged
+
 NODE = "node_id string, title string, level int, start_char bigint, end_char bigint, start_index int, end_index int, summary string"
 
 
@@ -35,7 +37,8 @@ def load_nodes(spark: SparkSession, path: str) -> DataFrame:
     told = spark.read.schema("doc_no bigint, structure string").json(path)
     level = told.select("doc_no", F.lit(None).cast("string").alias("parent_id"), F.explode(F.from_json("structure", kind)).alias("n"))
     out = None
-    for _ in range(5):
+    while out is None or not level.isEmpty():  # as deep as the trees are
+        level = staged(level, "level")
         here = level.select("doc_no", "parent_id", *[f"n.{x.split()[0]}" for x in NODE.split(", ")])
         out = here if out is None else out.unionByName(here)
         level = level.filter("n.nodes is not null").select("doc_no", F.col("n.node_id").alias("parent_id"), F.explode(F.from_json("n.nodes", kind)).alias("n"))
