@@ -11,9 +11,13 @@ patterns' places, and each sequence lays its pieces one after the other, without
 Only class counts and patterns reach the driver; ranks come from counts for each class and salt, so that no
 class is ordered in one task. Ids are never shuffled: pieces are told by where they begin and their checksum.
 
+Pricing ends when no pattern improves the program, after ``most`` steps at the latest; the plan takes each rest once
+either way, it may then need more sequences.
+
 Defined results: a null text is packed like the empty one (the end id alone); repeated rows and ids are packed
-one by one (rows that agree in all columns are exchangeable); only doc_id and text are read, so other columns
-can't clash; an empty table gives no rows.
+one by one (rows that agree in all columns are exchangeable, as are ties in id, place and checksum); a very long text
+is encoded in parts and cut into full sequences; only doc_id and text are read, so other columns can't clash; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .common import cut, documents
 from .texts import blocks, hold
 
 LENGTH, GRID, END_ID = 4096, 16, 2
-CACHE_UNITS, CACHE_CHARS = 1_000_000, 48
+CACHE_UNITS, CACHE_CHARS = 500_000, 48
 #: Rests of one class and salt that are ranked in one task, about.
 SALT_ROWS = 20_000
 _LOADED: dict[str, WordTokenizer] = {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +18,15 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def hold(owner: str, release: Callable[[], None]) -> None:
-    """A worker process keeps the tables of one operator at a time: those that others left go. ``release`` drops one's own."""
-    for name in [x for x in _HELD if x != owner]:
+    """A worker process keeps the tables of one operator at a time: those that others left go, back to the system where it
+    can take them. ``release`` drops one's own."""
+    left = [x for x in _HELD if x != owner]
+    for name in left:
         _HELD.pop(name)()
+    if left:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
     _HELD[owner] = release
 
 
