@@ -7,11 +7,11 @@ until a level makes no mistake. The first level that lacks a key decides. Each r
 that it governs. Urls are looked up in the cascades, without a join.
 
 Keys are spread by hash over segments of bounded size, each built in one task from its distinct keys. The
-filters are sent to the executors up to ``broadcast_bytes``; more of them are sent in several passes, each of
-which takes the urls of its own segments.
+filters are sent to the executors up to ``broadcast_bytes``; beyond, urls and filters meet by segment in one shuffle.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; urls that no rule
-governs are in no cascade and are allowed; a null page_id stays; repeated rows are judged one by one; columns
+governs are in no cascade and are allowed; of rules of equal length the one with the longer host wins, then the earlier
+in the list; a null page_id stays; very long urls are keyed by host and as much of the path as rules have; repeated rows are judged one by one; columns
 other than page_id and url aren't read; an empty table gives no rows.
 """
 
@@ -109,48 +109,79 @@ def cascades(keys: DataFrame, segments: int, n_rules: int) -> DataFrame:
     return keys.groupBy("segment").applyInArrow(one, "segment int, rule int, level int, filter binary")
 
 
-def url_filter(pages: DataFrame, rules=RULES, segment_keys: int = SEGMENT_KEYS, broadcast_bytes: int = 256 << 20) -> DataFrame:
+def _look(held: dict[int, list[np.ndarray]], n: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+    """Writes the governing rule of the rows ``at`` into ``n``, by one segment's cascades."""
+    for r, levels in held.items():
+        n[at[member(levels, h1[at], h2[at])]] = r
+
+
+def _unsigned(b: pa.RecordBatch, col: str) -> np.ndarray:
+    return b.column(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _looked_at_once(hashed: DataFrame, filters: DataFrame, segments: int, schema: str) -> DataFrame:
+    """All filters go to the executors; urls aren't shuffled."""
+    held: dict[int, dict[int, list[np.ndarray]]] = {}
+    for s, r, _, f in filters.orderBy("segment", "rule", "level").collect():
+        held.setdefault(s, {}).setdefault(r, []).append(np.frombuffer(f, np.uint8))
+    sent = hashed.sparkSession.sparkContext.broadcast(held)
+
+    def look(batches):
+        for b in batches:
+            h1, h2 = _unsigned(b, "h1"), _unsigned(b, "h2")
+            where = b.column("h1").to_numpy(zero_copy_only=False) % segments
+            n = np.full(len(h1), -1, np.int32)
+            for s, own in sent.value.items():
+                _look(own, n, np.flatnonzero(where == s), h1, h2)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(n)], names=["page_id", "host", "path", "n"])
+
+    return hashed.mapInArrow(look, schema)
+
+
+def _looked_by_segment(hashed: DataFrame, filters: DataFrame, universe: DataFrame, segments: int, schema: str, part_rows: int) -> DataFrame:
+    """Urls meet the filters of their segment in one shuffle, the filters first. A segment of many urls (a hot key's) is
+    salted into parts of about ``part_rows``, each with a copy of its filters; a task streams its urls past them."""
+    seg = F.pmod(F.col("h1"), F.lit(segments)).cast("int")
+    parts = cut(universe.groupBy(seg.alias("segment")).agg(F.ceil(F.sum("n") / part_rows).cast("int").alias("parts")), "parts")
+    levels = filters.join(parts, "segment").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("segment", "salt", "rule", "level", "filter")
+    urls = hashed.withColumn("place", F.monotonically_increasing_id()).withColumn("segment", seg).join(parts, "segment")
+    urls = urls.withColumn("salt", F.pmod(F.col("place"), F.col("parts")).cast("int")).drop("place", "parts")
+    both = urls.unionByName(levels, allowMissingColumns=True).repartition("segment", "salt").sortWithinPartitions("segment", "salt", F.col("filter").isNull(), "rule", "level")
+
+    def look(batches):
+        own, held = None, {}
+        for b in batches:
+            h1, h2 = _unsigned(b, "h1"), _unsigned(b, "h2")
+            group = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("segment", "salt")], 1)
+            url = np.asarray(b.column("filter").is_null().to_numpy(zero_copy_only=False))
+            n = np.full(len(h1), -1, np.int32)
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)]) if len(h1) else []
+            for i, j in zip(starts, [*starts[1:], len(h1)], strict=True):
+                if own != tuple(group[i]):
+                    own, held = tuple(group[i]), {}
+                for k in i + np.flatnonzero(~url[i:j]):
+                    held.setdefault(b.column("rule")[int(k)].as_py(), []).append(np.frombuffer(b.column("filter")[int(k)].as_py(), np.uint8))
+                _look(held, n, i + np.flatnonzero(url[i:j]), h1, h2)
+            out = pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(n)], names=["page_id", "host", "path", "n"])
+            yield out.filter(pa.array(url))
+
+    return both.mapInArrow(look, schema)
+
+
+def url_filter(pages: DataFrame, rules=RULES, segment_keys: int = SEGMENT_KEYS, broadcast_bytes: int = 256 << 20, part_rows: int = 1 << 20) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row."""
-    spark = pages.sparkSession
     longest = max(len(p) for _, _, p in rules)
     key = [F.col("host"), F.substring("path", 1, longest)]
     named = with_host_path(pages.select("page_id", "url"))
-    distinct = named.select(key[0], key[1].alias("path")).distinct()
-    universe = cut(distinct.select(F.xxhash64(F.lit(1), "host", "path").alias("h1"), F.xxhash64(F.lit(2), "host", "path").alias("h2"), governing(rules).alias("rule")), "universe")
+    distinct = named.groupBy(key[0], key[1].alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    universe = cut(distinct.select(F.xxhash64(F.lit(1), "host", "path").alias("h1"), F.xxhash64(F.lit(2), "host", "path").alias("h2"), governing(rules).alias("rule"), "n"), "universe")
     segments = -(-universe.count() // segment_keys) or 1
     seg = F.pmod(F.col("h1"), F.lit(segments)).cast("int").alias("segment")
     filters = cut(cascades(universe.select("h1", "h2", seg, "rule"), segments, len(rules)), "cascades")
-    sizes = filters.groupBy("segment").agg(F.sum(F.length("filter")).alias("n")).orderBy("segment").collect()  # a row for each segment_keys keys
-    passes, total = [[]], 0
-    for s, n in sizes:
-        if total and total + n > broadcast_bytes:
-            passes.append([])
-            total = 0
-        passes[-1].append(s)
-        total += n
+    total = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
     hashed = named.select("page_id", "host", "path", F.xxhash64(F.lit(1), key[0], key[1]).alias("h1"), F.xxhash64(F.lit(2), key[0], key[1]).alias("h2"))
     schema = f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, n int"
-    out = []
-    for k, own in enumerate(passes):
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        lo, hi = (own[0] if k and own else 0), (passes[k + 1][0] if k + 1 < len(passes) else segments)
-        for s, r, _, f in filters.filter(F.col("segment").between(lo, hi - 1)).orderBy("segment", "rule", "level").collect():
-            held.setdefault((s, r), []).append(np.frombuffer(f, np.uint8))
-        sent = spark.sparkContext.broadcast(held)
-
-        def look(batches, sent=sent):
-            for b in batches:
-                h1, h2 = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (3, 4))
-                where = (b.column(3).to_numpy(zero_copy_only=False) % segments).astype(np.int32)
-                n = np.full(len(h1), -1, np.int32)
-                for (s, r), levels in sent.value.items():
-                    at = np.flatnonzero(where == s)
-                    n[at[member(levels, h1[at], h2[at])]] = r
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n)], names=["page_id", "host", "path", "n"])
-
-        mine = hashed if len(passes) == 1 else hashed.filter(F.pmod(F.col("h1"), F.lit(segments)).between(lo, hi - 1))
-        out.append(mine.mapInArrow(look, schema))
-    looked = reduce(DataFrame.unionByName, out)
+    looked = _looked_at_once(hashed, filters, segments, schema) if total <= broadcast_bytes else _looked_by_segment(hashed, filters, universe, segments, schema, part_rows)
     name = reduce(lambda c, i: F.when(F.col("n") == i, F.lit(rules[i][1] + rules[i][2])).otherwise(c), range(len(rules)), F.lit(None).cast("string"))
     verdict = reduce(lambda c, i: F.when(F.col("n") == i, F.lit(rules[i][0])).otherwise(c), range(len(rules)), F.lit("allow"))
     return looked.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"))

@@ -17,13 +17,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset (tests)."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one on a single machine (tests);
+    on a cluster RuntimeError, as executors couldn't read that."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             found = tempfile.mkdtemp(prefix="strata-shared-")
             sc.setCheckpointDir(found)
     return found

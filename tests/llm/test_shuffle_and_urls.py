@@ -83,5 +83,18 @@ def test_urls(spark):
     df = spark.createDataFrame([(i if i != 3 else None, u) for i, u in enumerate(URLS)], "page_id bigint, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
     want = Counter((i if i != 3 else None, *brute(u)) for i, u in enumerate(URLS))
     assert Counter(map(tuple, b.url_filter(df).collect())) == want
-    assert Counter(map(tuple, b.url_filter(df, segment_keys=3, broadcast_bytes=10).collect())) == want  # many segments, many passes
+    assert Counter(map(tuple, b.url_filter(df, segment_keys=3, broadcast_bytes=10, part_rows=2).collect())) == want  # many segments, salted, one shuffle
     assert b.url_filter(df.limit(0)).count() == 0
+
+
+def test_hot_url_and_ties_of_rules(spark):
+    """One url in half of the rows, more filters than may be sent; rules of equal length."""
+    rules = (("block", "a.com", "/xy"), ("allow", "com", "/xy/zz"), ("block", "b.a.com", "/x"), ("allow", "a.com", "/x"))
+    urls = ["http://b.a.com/xy/zz"] * 60 + [f"http://h{k}.com/xy" for k in range(40)] + ["http://a.com/xyz", "http://a.com/x", "http://b.a.com/xq", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").repartition(3)
+    assert len("a.com/xy") < len("com/xy/zz") == len("b.a.com/x")
+    want = {0: "b.a.com/x", 60: None, 100: "a.com/xy", 101: "a.com/x", 102: "b.a.com/x", 103: None}
+    for extra in ({}, {"segment_keys": 5, "broadcast_bytes": 0, "part_rows": 7}):
+        got = {r.page_id: r for r in b.url_filter(df, rules, **extra).collect()}
+        assert len(got) == len(urls) and {k: got[k].rule for k in want} == want
+        assert all(got[k].verdict == "block" for k in range(60))
