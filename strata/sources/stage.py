@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a folder that is set in its place."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a single machine (tests), RuntimeError on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             found = tempfile.mkdtemp(prefix="strata-shared-")
             sc.setCheckpointDir(found)
     return found.rstrip("/")
