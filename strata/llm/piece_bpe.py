@@ -12,7 +12,8 @@ apart beforehand: those pieces all have one score, lower than all others', so th
 the longest there is. Units (a space and what follows it) are encoded once and kept in a bounded dict.
 
 Defined results: a null text is encoded like the empty one, to the end id alone; repeated rows and ids are
-encoded one by one; only doc_id and text are read, so other columns can't clash; an empty table gives no rows.
+encoded one by one; a very long text is encoded whole, unit by unit, and ties between merges go to the left one, as in
+the library; only doc_id and text are read, so other columns can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ The vocabulary is a parameter: (piece, score) by id. The query takes the pieces
 kept in a bounded dict.
 
 Defined results: null and empty texts have no tokens and score 0; repeated rows and ids are counted one by
-one; only doc_id and text are read, so other columns can't clash; an empty table gives no rows.
+one; a very long text is read unit by unit, and of ties in score the longest last piece stays; only doc_id and text
+are read, so other columns can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
