@@ -1,6 +1,12 @@
 """The corpus pipeline: five stages over the table ``documents``, each the work of one operator of strata.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+
+Defined results: nulls in any column are allowed, and other columns, whatever their names, pass through all stages but the
+last, which reads doc_id and text alone; an empty table gives an empty one. Null, empty and blank texts fail the base rule
+and so go in the second stage. Repeated rows share one verdict in the first two stages; of a class of near duplicates the
+row with the smallest id stays (of rows that agree in id and words, one). A document with no words left is packed as its
+end id. Very long texts are worked on whole. Without labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -49,7 +55,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the network, the alignment and the packing; tests hold the stages against brute force.
+#: SQL can't express the network, the alignment and the packing; tests hold each stage, and all in turn, against brute force.
 ORACLE_SQL = None
 
 
