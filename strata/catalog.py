@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reference_queries, retrieval_queries, structure_queries, text_queries
+from .plans import call_queries, reference_queries, retrieval_queries, structure_queries, text_queries
 
-GROUPS = (text_queries, structure_queries, reference_queries, retrieval_queries)
+GROUPS = (text_queries, structure_queries, reference_queries, retrieval_queries, call_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,29 @@ def truncate_middle(text: Column, size: int) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, keep), F.lit(MIDDLE), F.right(text, F.lit(keep))))
 
 
+def truncate_reading(text: Column, most: int = 10_000) -> Column:
+    """What is read of a section: one longer than ``most`` by its two halves of that."""
+    half = most // 2
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, half), F.lit(MIDDLE), F.right(text, F.lit(half))))
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def sample(text: Column, most: int = 6000) -> Column:
+    """Head and tail of a longer text, cut at ends of sentences where there are some within 200 characters."""
+    half = (most - 30) // 2
+    wide = F.substring(text, 1, half + 200)
+    # place of the last end of a sentence, from the front (0: none)
+    ends = F.greatest(*[F.when(F.instr(F.reverse(wide), f" {m}") > 0, F.length(wide) - F.instr(F.reverse(wide), f" {m}")).otherwise(0) for m in ".?!"])
+    head = F.when(ends - 1 > half // 2, F.substring(wide, F.lit(1), ends)).otherwise(F.substring(text, 1, half))
+    late = F.substring(text, F.greatest(F.length(text) - half - 200, F.lit(0)) + 1, F.length(text))
+    stop = F.instr(late, ". ") - 1
+    tail = F.when((stop > 0) & (stop < 400), F.substring(late, stop + 3, F.length(late))).otherwise(F.right(text, F.lit(half)))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(_stripped(head), F.lit("\n\n...[content truncated]...\n\n"), _stripped(tail)))
+
+
 def clean(text: Column) -> Column:
     """Line ends as line feeds, three or more of them as two, blanks in lines as one space, ends stripped."""
     t = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -45,6 +68,13 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
+def count_tokens(text: Column, count=None) -> Column:
+    """Tokens by a function from texts to numbers (a tokenizer's), run on the executors; without one the estimate."""
+    if count is None:
+        return estimate_tokens(text)
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else count(t)), T.LongType())(text)
+
+
 def parse_date(text: Column, formats=TEXT_DATES) -> Column:
     """The first format that fits; null if none does."""
     return F.coalesce(*[F.try_to_timestamp(F.btrim(text), F.lit(f)) for f in formats])
@@ -109,6 +139,12 @@ def repaired_json(text: str | None) -> str:
     return "{}"
 
 
+@F.pandas_udf(T.StringType())
+def two_places(x: pd.Series) -> pd.Series:
+    """A number with two decimals, rounded as its binary value is."""
+    return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")
+
+
 @F.pandas_udf(T.StringType())
 def repair_json(text: pd.Series) -> pd.Series:
     return text.map(repaired_json)

@@ -146,13 +146,13 @@ def evidence_csv(s, d):
     n = _nodes(s, d)
     x = T.excerpts(T.evidence(_topics(s, d), n.select("doc_no", "node_id", "ord", "title", "summary"), EVIDENCE), _topics(s, d), n, EVIDENCE)
     t = n.select("doc_no", "node_id", "title")
-    return K.evidence_rows(x.join(t, ["doc_no", "node_id"]).withColumn("match_reason", F.lit("common words"))).drop("first_excerpt")
+    return K.evidence_rows(x.join(t, ["doc_no", "node_id"]).withColumn("match_reason", F.lit("common words")))
 
 
 def markdown_report(s, d):
-    e = _evidence(s, d).withColumn("ord", F.col("doc_no") * 100000 + F.col("ord"))
-    t = _slim(s, d).select("doc_no", "node_id", "title")
-    return K.markdown_report(e.join(t, ["doc_no", "node_id"]))
+    n = _slim(s, d)
+    e = T.evidence(_topics(s, d), n, EVIDENCE)
+    return K.markdown_report(e.join(n.select("doc_no", "node_id", "title"), ["doc_no", "node_id"]))
 
 
 def _entries(s, d):
@@ -307,7 +307,7 @@ ORACLES = {
         (SELECT *, row_number() OVER (PARTITION BY query_id, doc_no ORDER BY score DESC, ord) AS step FROM scored) s JOIN summed t USING (doc_no, node_id) WHERE step <= 5"""),
     "structure_view": Q.with_(Q.DEPTHS + TEXTS.removeprefix(Q.NODES), """SELECT doc_no, md5(string_agg(repeat('  ', depth) || '[' || node_id || '] ' || title || CASE WHEN length(coalesce(summary, '')) > 0 THEN ' - ' || substr(summary, 1, 60) || '...' ELSE '' END, chr(10) ORDER BY ord)) AS view
         FROM summed JOIN walk USING (doc_no, node_id) GROUP BY doc_no"""),
-    "evidence_csv": Q.with_(_EXC, "SELECT node_id, title, printf('%.2f', score) AS relevance_score, 'common words' AS match_reason, len(x) AS excerpt_count FROM exc"),
+    "evidence_csv": Q.with_(_EXC, "SELECT node_id, title, printf('%.2f', score) AS relevance_score, 'common words' AS match_reason, len(x) AS excerpt_count, substr(coalesce(x[1], ''), 1, 200) AS first_excerpt FROM exc"),
     "cache_hit_miss": """SELECT event_type, count(*) AS n, count_if(before IS NOT NULL AND before + INTERVAL 6 HOUR >= ts) AS hits FROM
         (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY event_type""",
     "cache_evict_lfu": f"WITH {_ENTRIES} SELECT key, hit_count FROM entries ORDER BY hit_count DESC, created_at DESC, key DESC LIMIT 100",
@@ -341,6 +341,8 @@ ORACLES |= {
     "category_comparison": Q.with_(SCORES, "SELECT category, count(*) AS n, round(avg(score), 6) AS mean, round(count(*) / any_value(total), 6) AS coverage FROM cats, (SELECT count(*) AS total FROM nodes) GROUP BY category"),
     "sweep_means": Q.with_(SCORES, "SELECT threshold, round(avg(score), 6) AS mean FROM evidence, (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.4]::DOUBLE[]) AS threshold) WHERE score >= threshold GROUP BY threshold"),
     "index_nodes": Q.with_(_INDEX, "SELECT doc_no, node_id, parent_id, title, level, start_char, end_char, md5(coalesce(own, '')) AS summary_md5 FROM up0"),
+    "markdown_report": Q.with_(SCORES, """SELECT query_id, '# Evidence' || chr(10) || chr(10) || 'Total: ' || max(n) || chr(10) || 'Average: ' || printf('%.2f', round(max(mean), 9)) || chr(10) || chr(10) || string_agg('- ' || title || ' (' || printf('%.2f', score) || ')', chr(10) ORDER BY r) || chr(10) AS report
+        FROM (SELECT e.*, t.title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_no, e.ord) AS r, count(*) OVER (PARTITION BY query_id) AS n, avg(score) OVER (PARTITION BY query_id) AS mean FROM evidence e JOIN summed t USING (doc_no, node_id)) WHERE r <= 5 GROUP BY query_id"""),
     "find_node": Q.with_(Q.NODES, "SELECT doc_no, title, start_char FROM nodes WHERE node_id = '0003'"),
     "text_range": Q.with_(Q.filings_sql(), "SELECT doc_no, md5(substr(text, 101, 300)) AS text_md5 FROM filings"),
     "structure_summary": Q.with_(Q.DEPTHS, """SELECT doc_no, md5(string_agg(repeat('  ', depth) || CASE WHEN r <= 5 THEN '- ' || title ELSE '... and ' || (n - 5) || ' more' END, chr(10) ORDER BY ord)) AS summary FROM
@@ -348,4 +350,4 @@ ORACLES |= {
           (SELECT n.*, w.depth, w.path, CASE WHEN n.parent_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY n.doc_no, n.parent_id ORDER BY n.ord) END AS r, count(*) OVER (PARTITION BY n.doc_no, n.parent_id) AS n FROM nodes n JOIN walk w USING (doc_no, node_id) WHERE w.depth <= 2) z))
         WHERE r <= 6 AND (gone IS NULL OR len(above) = 0) GROUP BY doc_no"""),
 }
-QUERIES = {k: globals()[k] for k in [*ORACLES, "index_stats", "tree_json", "markdown_report"]}
+QUERIES = {k: globals()[k] for k in [*ORACLES, "index_stats", "tree_json"]}

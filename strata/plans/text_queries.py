@@ -70,14 +70,14 @@ def cache_keys(s, d):
 
 
 def best_match_jaccard(s, d):
-    """For each first turn of a conversation the benchmark text of most common words, above 0.02; the first of equals.
+    """For each turn of a conversation the benchmark text of most common words, above 0.02; the first of equals.
     Words meet by an equi-join: texts without a common word score 0 and are no match."""
-    q = load(s, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select("conv_id", X.word_set(F.col("text")).alias("ws"))
+    q = load(s, d, "conversations").select("conv_id", "turn", X.word_set(F.col("text")).alias("ws"))
     c = load(s, d, "benchmark").select("item_id", X.word_set(F.col("text")).alias("ws"))
-    a = q.select("conv_id", F.size("ws").alias("na"), F.explode("ws").alias("w"))
+    a = q.select("conv_id", "turn", F.size("ws").alias("na"), F.explode("ws").alias("w"))
     b = c.select("item_id", F.size("ws").alias("nb"), F.explode("ws").alias("w"))
-    both = a.join(b, "w").groupBy("conv_id", "item_id", "na", "nb").agg(F.count(F.lit(1)).alias("n")).withColumn("score", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).filter("score > 0.02")
-    return both.groupBy("conv_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("first"))).alias("m")).select("conv_id", (-F.col("m.first")).alias("item_id"), "m.score")
+    both = a.join(b, "w").groupBy("conv_id", "turn", "item_id", "na", "nb").agg(F.count(F.lit(1)).alias("n")).withColumn("score", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).filter("score > 0.02")
+    return both.groupBy("conv_id", "turn").agg(F.max(F.struct("score", (-F.col("item_id")).alias("first"))).alias("m")).select("conv_id", "turn", (-F.col("m.first")).alias("item_id"), "m.score")
 
 
 def chunk_simple(s, d):
@@ -113,8 +113,8 @@ ORACLES = {
     "format_number": "SELECT l_orderkey, l_linenumber, CASE WHEN abs(v) >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.2fK', v / 1e3) ELSE printf('%.2f', v) END AS shown FROM (SELECT l_orderkey, l_linenumber, l_extendedprice * pow(10.0::DOUBLE, l_linenumber - 3) AS v FROM lineitem)",
     "highlight_terms": "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)the', '**the**', 'g'), '(?i)de', '**de**', 'g'), '(?i)\\(\\$1\\)', '**($1)**', 'g')) AS shown_md5 FROM documents",
     "cache_keys": "SELECT doc_id, 'index:' || doc_id AS index_key, 'llm:m:' || substr(sha256(text), 1, 16) AS llm_key, 'search:' || doc_id || ':' || substr(sha256(text), 1, 16) AS search_key, substr(sha256(text), 1, 32) AS file_name FROM documents",
-    "best_match_jaccard": f"""WITH q AS (SELECT conv_id, {_SETS.format('text')} AS a FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)), c AS (SELECT item_id, {_SETS.format('text')} AS b FROM benchmark),
-        s AS (SELECT conv_id, item_id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM q, c)
-        SELECT conv_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, item_id) AS r FROM s WHERE score > 0.02) WHERE r = 1""",
+    "best_match_jaccard": f"""WITH q AS (SELECT conv_id, turn, {_SETS.format('text')} AS a FROM conversations), c AS (SELECT item_id, {_SETS.format('text')} AS b FROM benchmark),
+        s AS (SELECT conv_id, turn, item_id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM q, c)
+        SELECT conv_id, turn, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS r FROM s WHERE score > 0.02) WHERE r = 1""",
 }
 QUERIES = {k: globals()[k] for k in [*ORACLES, "chunk_simple", "json_repair"]}

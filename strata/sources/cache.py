@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 
 from .stage import staged
 
+#: Seconds that an entry of each family of keys lives.
+TTL = {"index": 7 * 86400, "llm": 3600, "search": 1800}
+
 SCHEMA = "key string, value string, created_at timestamp, expires_at timestamp, hit_count bigint"
 
 
@@ -19,6 +22,14 @@ def lookup(requests: DataFrame, entries: DataFrame, now) -> DataFrame:
     return j.select(*requests.columns, live.alias("hit"), F.when(live, F.col("value")).alias("value"))
 
 
+def expiry(key, created_at):
+    """When an entry of a key made at a time expires, by the family that the key begins with; of no family: never."""
+    out = F.lit(None).cast("timestamp")
+    for family, seconds in TTL.items():
+        out = F.when(F.startswith(key, F.lit(f"{family}:")), created_at + F.expr(f"interval {seconds} seconds")).otherwise(out)
+    return out
+
+
 def evicted(entries: DataFrame, max_size: int) -> DataFrame:
     """The entries that stay when only ``max_size`` may: those of most hits, of equals the younger, then the larger key."""
     return entries.orderBy(F.col("hit_count").desc(), F.col("created_at").desc(), F.col("key").desc()).limit(max_size)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import two_places
 from .stage import staged
 
 NODE = "node_id string, title string, level int, start_char bigint, end_char bigint, start_index int, end_index int, summary string"
@@ -47,7 +48,7 @@ def load_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def evidence_rows(found: DataFrame) -> DataFrame:
     """Evidence as the columns of the CSV export; found: with title and excerpts."""
-    return found.select("node_id", "title", F.format_string("%.2f", "score").alias("relevance_score"), "match_reason", F.size("excerpts").alias("excerpt_count"), F.substring(F.coalesce(F.try_element_at("excerpts", F.lit(1)), F.lit("")), 1, 200).alias("first_excerpt"))
+    return found.select("node_id", "title", two_places(F.col("score")).alias("relevance_score"), "match_reason", F.size("excerpts").alias("excerpt_count"), F.substring(F.coalesce(F.try_element_at("excerpts", F.lit(1)), F.lit("")), 1, 200).alias("first_excerpt"))
 
 
 def save_csv(found: DataFrame, path: str) -> None:
@@ -55,8 +56,11 @@ def save_csv(found: DataFrame, path: str) -> None:
 
 
 def markdown_report(found: DataFrame, top: int = 5) -> DataFrame:
-    """(query_id, report): totals and the best evidence of each topic as Markdown text."""
-    row = F.struct((-F.col("score")).alias("s"), "ord", "title", F.format_string("%.2f", "score").alias("shown"))
-    g = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.array_sort(F.collect_list(row)).alias("rows"))
-    lines = F.transform(F.slice("rows", 1, top), lambda r: F.concat(F.lit("- "), r["title"], F.lit(" ("), r["shown"], F.lit(")")))
-    return g.select("query_id", F.concat(F.lit("# Evidence\n\nTotal: "), F.col("n").cast("string"), F.lit("\nAverage: "), F.format_string("%.2f", "mean"), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("report"))
+    """(query_id, report): number, mean and the best evidence of each topic as Markdown text; ties in document order."""
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_no", "ord")
+    best = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)  # ranked before anything is gathered
+    line = F.concat(F.lit("- "), F.col("title"), F.lit(" ("), two_places(F.col("score")), F.lit(")"))
+    shown = best.select("query_id", "r", line.alias("line")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("l"))
+    told = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean")).join(shown, "query_id")
+    head = F.concat(F.lit("# Evidence\n\nTotal: "), F.col("n").cast("string"), F.lit("\nAverage: "), two_places(F.round("mean", 9)), F.lit("\n\n"))
+    return told.select("query_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("report"))
