@@ -98,7 +98,15 @@ _PIECES = "regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g')"
 _SETS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
 _ROMAN = "['','M','MM','MMM'][(n // 1000) % 4 + 1] || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][(n // 100) % 10 + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][(n // 10) % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][n % 10 + 1]"
 _SPELL = ["%Y-%m-%d", "%B %-d, %Y", "%B %-d %Y", "%b %-d, %Y", "%b %-d %Y", "%m/%d/%Y", "%m-%d-%Y", "%d-%b-%Y", "%-d %B %Y"]
+_BREAKS = ("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("' '", 1)
+_SIMPLE_END = "CASE WHEN a + 1000 >= length(t) THEN a + 1000 ELSE a + coalesce(" + ", ".join(
+    f"CASE WHEN instr(reverse(w), reverse({m})) > 0 AND 1001 - instr(reverse(w), reverse({m})) - {n} > 500 THEN 1001 - instr(reverse(w), reverse({m})) END" for m, n in _BREAKS) + ", 1000) END"
 ORACLES = {
+    "chunk_simple": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        r AS (SELECT doc_id, t, 0 AS k, 0 AS a, {_SIMPLE_END} AS z FROM (SELECT *, 0 AS a, substr(t, 1, 1000) AS w FROM d WHERE length(t) > 1000)
+          UNION ALL SELECT doc_id, t, k + 1, a, {_SIMPLE_END} FROM (SELECT doc_id, t, k, z - 100 AS a, substr(t, z - 99, 1000) AS w FROM r WHERE z - 100 < length(t)))
+        SELECT doc_id, k, substr(t, a + 1, z - a) AS piece FROM r UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) <= 1000""",
+    "json_repair": "SELECT event_id, props AS json FROM events",
     "doc_hash_id": "SELECT doc_id, substr(sha256(text), 1, 12) AS hash_id, 'doc_' || substr(sha256(text), 1, 12) AS prefixed FROM documents",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 97) || '...' END AS short FROM documents",
     "truncate_middle": "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 90) || chr(10) || '...[truncated]...' || chr(10) || right(text, 90) END AS short FROM documents",
@@ -117,4 +125,4 @@ ORACLES = {
         s AS (SELECT conv_id, turn, item_id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM q, c)
         SELECT conv_id, turn, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS r FROM s WHERE score > 0.02) WHERE r = 1""",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLES, "chunk_simple", "json_repair"]}
+QUERIES = {k: globals()[k] for k in ORACLES}
