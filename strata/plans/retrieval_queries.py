@@ -343,6 +343,9 @@ ORACLES |= {
     "index_nodes": Q.with_(_INDEX, "SELECT doc_no, node_id, parent_id, title, level, start_char, end_char, md5(coalesce(own, '')) AS summary_md5 FROM up0"),
     "markdown_report": Q.with_(SCORES, """SELECT query_id, '# Evidence' || chr(10) || chr(10) || 'Total: ' || max(n) || chr(10) || 'Average: ' || printf('%.2f', round(max(mean), 9)) || chr(10) || chr(10) || string_agg('- ' || title || ' (' || printf('%.2f', score) || ')', chr(10) ORDER BY r) || chr(10) AS report
         FROM (SELECT e.*, t.title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_no, e.ord) AS r, count(*) OVER (PARTITION BY query_id) AS n, avg(score) OVER (PARTITION BY query_id) AS mean FROM evidence e JOIN summed t USING (doc_no, node_id)) WHERE r <= 5 GROUP BY query_id"""),
+    "tree_json": Q.with_(Q.DEPTHS + TEXTS.removeprefix(Q.NODES), """SELECT doc_no, '[' || string_agg(json || CASE WHEN after > depth THEN ',"nodes":[' WHEN after IS NULL THEN '}' || repeat(']}', depth) ELSE '}' || repeat(']}', depth - after) || ',' END, '' ORDER BY ord) || ']' AS structure FROM
+        (SELECT doc_no, ord, depth, lead(depth) OVER (PARTITION BY doc_no ORDER BY ord) AS after, '{"node_id":' || to_json(node_id) || ',"title":' || to_json(title) || ',"level":' || level || ',"start_char":' || start_char || ',"end_char":' || end_char
+          || ',"start_index":' || start_chunk || ',"end_index":' || end_chunk || CASE WHEN summary IS NULL THEN '' ELSE ',"summary":' || to_json(summary) END AS json FROM summed JOIN walk USING (doc_no, node_id)) GROUP BY doc_no"""),
     "find_node": Q.with_(Q.NODES, "SELECT doc_no, title, start_char FROM nodes WHERE node_id = '0003'"),
     "text_range": Q.with_(Q.filings_sql(), "SELECT doc_no, md5(substr(text, 101, 300)) AS text_md5 FROM filings"),
     "structure_summary": Q.with_(Q.DEPTHS, """SELECT doc_no, md5(string_agg(repeat('  ', depth) || CASE WHEN r <= 5 THEN '- ' || title ELSE '... and ' || (n - 5) || ' more' END, chr(10) ORDER BY ord)) AS summary FROM
@@ -350,4 +353,4 @@ ORACLES |= {
           (SELECT n.*, w.depth, w.path, CASE WHEN n.parent_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY n.doc_no, n.parent_id ORDER BY n.ord) END AS r, count(*) OVER (PARTITION BY n.doc_no, n.parent_id) AS n FROM nodes n JOIN walk w USING (doc_no, node_id) WHERE w.depth <= 2) z))
         WHERE r <= 6 AND (gone IS NULL OR len(above) = 0) GROUP BY doc_no"""),
 }
-QUERIES = {k: globals()[k] for k in [*ORACLES, "index_stats", "tree_json"]}
+QUERIES = {k: globals()[k] for k in [*ORACLES, "index_stats"]}
