@@ -36,7 +36,10 @@ def evicted(entries: DataFrame, max_size: int) -> DataFrame:
 
 
 class ParquetCache:
-    """get, set, delete, exists and clear over a table at ``path``; each write makes a new version, the last one counts."""
+    """get, set, delete, exists and clear over a table at ``path``; each write makes a new version, the last one counts.
+
+    A read appends its hits beside the version, so that it costs what it found; the next write adds them up.
+    """
 
     def __init__(self, spark: SparkSession, path: str, max_size: int | None = None):
         self.spark, self.path, self.max_size = spark, path.rstrip("/"), max_size
@@ -48,17 +51,24 @@ class ParquetCache:
         if not self._fs.exists(self._at(self.path)):
             return []
         names = [x.getPath().getName() for x in self._fs.listStatus(self._at(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
 
     def entries(self) -> DataFrame:
         have = self._versions()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
+        if not have:
+            return self.spark.createDataFrame([], SCHEMA)
+        table, hits = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{have[-1]}"), f"{self.path}/v{have[-1]}-hits"
+        if not self._fs.exists(self._at(hits)):
+            return table
+        more = self.spark.read.schema("key string, more bigint").parquet(hits).groupBy("key").agg(F.sum("more").alias("more"))
+        return table.join(more, "key", "left").withColumn("hit_count", F.col("hit_count") + F.coalesce("more", F.lit(0))).drop("more")
 
     def _write(self, df: DataFrame) -> None:
         old = self._versions()
         df.write.mode("overwrite").parquet(f"{self.path}/v{(old[-1] if old else 0) + 1}")
         for v in old:
-            self._fs.delete(self._at(f"{self.path}/v{v}"), True)
+            for name in (f"v{v}", f"v{v}-hits"):
+                self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
     def set_many(self, rows: DataFrame, ttl_seconds: int | None = None) -> None:
         """Puts (key, value) rows in; entries with these keys are replaced."""
@@ -74,11 +84,10 @@ class ParquetCache:
 
     def get_many(self, keys: DataFrame) -> DataFrame:
         """keys (key) with hit and value; the hits are counted."""
-        out = lookup(keys, self.entries(), F.current_timestamp())
-        found = out.filter("hit").groupBy("key").agg(F.count(F.lit(1)).alias("more"))
-        counted = self.entries().join(found, "key", "left").withColumn("hit_count", F.col("hit_count") + F.coalesce("more", F.lit(0))).drop("more")
-        result = staged(out, "found")  # before the entries' version changes
-        self._write(counted)
+        have = self._versions()
+        result = staged(lookup(keys, self.entries(), F.current_timestamp()), "found")  # a later write drops the version it reads
+        if have:
+            result.filter("hit").groupBy("key").agg(F.count(F.lit(1)).alias("more")).write.mode("append").parquet(f"{self.path}/v{have[-1]}-hits")
         return result
 
     def delete(self, keys: DataFrame) -> None:

@@ -94,6 +94,20 @@ def test_families_expire(spark):
     assert [(ends[k] - at).total_seconds() for k in ("index:1", "llm:m:1", "search:1:2")] == [604800, 3600, 1800] and ends["indexed"] is None
 
 
+def test_hits_are_added_up(spark, tmp_path):
+    cache = C.ParquetCache(spark, str(tmp_path / "hits"), max_size=2)
+    keys = spark.createDataFrame([("a",), ("a",), ("x",)], "key string")
+    assert cache.get_many(keys).filter("hit").count() == 0
+    cache.set_many(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"))
+    for _ in range(2):
+        assert sorted((r.key, r.hit, r.value) for r in cache.get_many(keys).collect()) == [("a", True, "1"), ("a", True, "1"), ("x", False, None)]
+    assert {r.key: r.hit_count for r in cache.entries().collect()} == {"a": 4, "b": 0} and cache.stats().first().total_hits == 4
+    cache.set_many(spark.createDataFrame([("c", "3")], "key string, value string"))  # the hits decide who goes
+    assert {r.key: r.hit_count for r in cache.entries().collect()} == {"a": 4, "c": 0}
+    cache.clear()
+    assert cache.entries().count() == 0 and cache.get_many(keys).filter("hit").count() == 0
+
+
 def test_report_rounds_binary_values(spark):
     rows = [(1, 0, 0, "A", 0.625), (1, 1, 0, "B", 0.375), (1, 0, 1, "C", 0.625)] + [(1, 2, k, "D", 0.1) for k in range(5)]
     got = K.markdown_report(spark.createDataFrame(rows, "query_id int, doc_no int, ord int, title string, score double")).collect()[0].report
