@@ -10,10 +10,12 @@ The alignment goes over the diagonals that a similarity of 0.8 can reach, which
 Texts with the same words are one node, so that copies cost nothing. First each text is compared with the smallest of
 its sketches' buckets' first members that it isn't too long or short for. Texts of buckets that hold several classes
 after that are dealt anew, by their rarest words: by the prefix principle any two similar ones share one of them. There
-each bucket's first members, more from round to round, are compared with its members of other classes; a leader that
-was leaves the bucket, and a bucket whose members are of one class is done. So pairs within a class aren't expanded,
-and no link between texts of a mixed bucket is lost. Very short texts, whose few shingles one edit may all change, go to
-the buckets of rarest words at once, which are exact.
+a bucket's members outside its largest class are compared with all members of other classes, which settles the bucket;
+while they are too many for that, its first members, more from round to round, are compared with those of other classes,
+so that classes merge. So pairs within a bucket's largest class aren't even met, pairs within others aren't compared, and
+no link between texts of a mixed bucket is lost. Pairs whose words' parities differ in more bits than two similar texts'
+words can aren't compared. Very short texts, whose few shingles one edit may all change, go to the buckets of rarest
+words at once, which are exact.
 
 Hot keys (a bucket or a leader with more than a thousandth of all rows, so at most a thousand for each sketch) are
 salted: their members are spread over tasks, and the one row that they meet is repeated.
@@ -312,36 +314,76 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> tuple[DataFr
     mixed = in_class.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
     some = active.join(mixed, "bucket").select("node").union(small).distinct()
     now = cut(comps.join(some, "node").select("node", "was", F.col("was").alias("comp")), "now")
-    active = cut(_prefix_buckets(texts.join(now.select("node"), "node"), p), "prefixes")
-    leaders, near = 4, "node <> x and comp <> cx and least(n, nx) >= {0!r} * greatest(n, nx) and 1 + least(n - r, nx - rx) >= {1!r} * (n + nx) - 0.000001"
+    held = cut(texts.join(now.select("node"), "node"), "held")
+    active = cut(_prefix_buckets(held, p).join(_parities(held), "node").select(*_MEMBER), "prefixes")
+    leaders, near = 4, _near(p)
     while True:
         members = active.join(now.select("node", "comp"), "node")
-        alive = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("leads").alias("any")).filter("any and x <> y").select("bucket")
-        members = cut(members.join(alive, "bucket").select("bucket", "node", "n", "r", "leads", "comp"), "members")
+        alive = _mixed_buckets(members).withColumn("settled", F.col("minors") <= leaders)
+        members = cut(members.join(alive, "bucket").select(*_MEMBER, "comp", (F.col("comp") != F.col("major")).alias("minor"), "settled"), "members")
         if members.isEmpty():
             break
-        first = _first_of(members.filter("leads"), leaders)
-        lead = first.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("comp").alias("cx"))
-        # of two that meet in their first common word no more than the rest of either can agree
-        both = members.join(lead.hint("merge"), "bucket").filter(near.format(p.similarity, p.similarity / (1 + p.similarity)))
-        pairs = both.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        few = members.filter("settled and minor").unionByName(_first_of(members.filter("not settled"), leaders))
+        lead = few.select("bucket", *(F.col(c).alias(f"{c}_x") for c in (*_MEMBER[1:], "comp")))
+        pairs = members.join(lead.hint("merge"), "bucket").filter(near)
+        pairs = pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         links = cut(verified(pairs, texts, p), "links")
         tested.append(links.select("a", "b"))
-        # a leader was compared with all of other classes
-        active = cut(members.drop("comp").join(first.select("bucket", "node"), ["bucket", "node"], "left_anti"), "prefixes")
+        active = members.filter("not settled").select(*_MEMBER)
         alike = links.filter(F.col("similarity") >= p.similarity)
         if not alike.isEmpty():
             ca, cb = (now.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b"))
             edges = alike.join(ca, "a").join(cb, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
             onto = components(edges).withColumnsRenamed({"node": "from", "comp": "to"})
             now = cut(now.join(onto, now["comp"] == onto["from"], "left").select("node", "was", F.coalesce("to", "comp").alias("comp")), "now")
-        leaders *= 16
+        leaders *= 64
     changed = now.filter("was <> comp").select("was", "comp").distinct()
     return rows.select("doc_id", "node"), comps.join(changed, "was", "left").select("node", "rep", F.coalesce("comp", "was").alias("comp"))
 
 
+#: Columns of a member of a bucket of rarest words.
+_MEMBER = ("bucket", "node", "n", "r", "leads", "p0", "p1", "p2", "p3")
+
+
+def _near(p: NearDupParams) -> str:
+    """Whether two members (the other's columns end with _x) can be similar. Of two that meet in their first common word
+    the one that isn't longer leads, and no more than the rest of either can agree; each word that only one of them has
+    changes one parity."""
+    differ = " + ".join(f"bit_count(p{i} ^ p{i}_x)" for i in range(4))
+    return (f"node <> node_x and comp <> comp_x and (n > n_x or leads) and (n_x > n or leads_x) and least(n, n_x) >= {p.similarity!r} * greatest(n, n_x)"
+            f" and 1 + least(n - r, n_x - r_x) >= {p.similarity / (1 + p.similarity)!r} * (n + n_x) - 0.000001"
+            f" and {differ} <= {(1 - p.similarity) / (1 + p.similarity)!r} * (n + n_x) + 0.000001")
+
+
+def _mixed_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, major, minors) of buckets with several classes and a leading member: the largest class and the number of
+    members outside it."""
+    groups = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.bool_or("leads").alias("any"))
+    of = groups.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c"), F.bool_or("any").alias("any"))
+    return of.filter("any and c > m.c").select("bucket", F.col("m.comp").alias("major"), (F.col("c") - F.col("m.c")).alias("minors"))
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Of each of 256 classes of word hashes whether an odd number of words is in it, as four 64-bit integers."""
+    return np.packbits(np.bincount((mix(h) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(node, p0 to p3) of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Words()
+        for b in batches:
+            out = np.zeros((b.num_rows, 4), np.int64)
+            for k in range(0, b.num_rows, 500):
+                for i, t in enumerate(b.column(1).slice(k, 500).to_pylist()):
+                    out[k + i] = parities(hashed(split(t)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, i]) for i in range(4))], names=["node", "p0", "p1", "p2", "p3"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
+
+
 def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
     """(bucket, node, n, r, leads): of each text its rarest labelled words, as many as two similar texts must have one in
     common of: with n words, n - ceil(similarity * n) + 1 in an order that holds for all texts. Of two similar texts the
@@ -370,11 +412,9 @@ def _prefix_buckets(texts: DataFrame, p: NearDupParams) -> DataFrame:
 
 def _first_of(members: DataFrame, k: int) -> DataFrame:
     """The k members of each bucket with the smallest nodes, by partial aggregation."""
-    if k == 1:
-        return members.groupBy("bucket").agg(F.min(F.struct("node", "n", "r", "comp")).alias("m")).select("bucket", "m.*")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
     few = salted.withColumn("place", F.row_number().over(W.partitionBy("bucket", "salt").orderBy("node"))).filter(F.col("place") <= k)
-    return few.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("place") <= k).select("bucket", "node", "n", "r", "comp")
+    return few.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("place") <= k).select(*members.columns)
 
 
 def _unique(rows: DataFrame) -> bool:
